@@ -6,8 +6,11 @@ import importlib
 
 #: Module, query function; a module's SQL, where it has one, belongs to its query.
 _MODULES = [
+    ("decontamination", "op4_decontamination"),
     ("exact_dedup", "op5_exact_dedup"),
+    ("license_scan", "op7_license_scan"),
     ("mixing", "op9_mix_sources"),
+    ("url_filter", "op10_url_filter"),
 ]
 
 
