@@ -1 +1,8 @@
 """PySpark-native knowledge-extraction analytics engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
