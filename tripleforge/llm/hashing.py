@@ -52,3 +52,28 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) < n:
         return mix(rolling(h, len(h)) + U(len(h)) * _M3)
     return np.unique(rolling(h, n))
+
+
+def long_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of ``n`` words, by doubling: log n steps."""
+    count = len(h) - n + 1
+    if count <= 0:
+        return np.empty(0, U)
+    out, done, part, length, rest = None, 0, h, 1, n
+    while rest:
+        if rest & 1:  # append a run of ``length`` words at ``done``
+            piece = part[done : done + count]
+            out = mix(piece + U(length)) if out is None else mix(out * _M1 + piece)
+            done += length
+        rest >>= 1
+        if rest:
+            part = mix(part[:-length] * _M3 + part[length:])
+            length *= 2
+    return out
+
+
+def winnowed(grams: np.ndarray, span: int) -> np.ndarray:
+    """For each window of ``span`` n-grams the place of its smallest (the first of equal ones)."""
+    if len(grams) < span:
+        return np.empty(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)

@@ -10,6 +10,7 @@ _MODULES = [
     ("ngram_join", "op1_ngram_join"),
     ("pii", "op3_pii"),
     ("exact_dedup", "op5_exact_dedup"),
+    ("substring_dedup", "op8_substring_dedup"),
     ("license_scan", "op7_license_scan"),
     ("mixing", "op9_mix_sources"),
     ("url_filter", "op10_url_filter"),
