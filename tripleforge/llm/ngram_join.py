@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, small_enough
+from .common import load, materialize
 from .components import connected_components
 from .hashing import U, byte_texts, mix, shingle_set, split_words, word_hashes
 
@@ -18,7 +18,6 @@ BLOCK_DOCS = 1000
 BLOCK_GRAMS = 1_000_000
 #: Shared n-grams of a fragment in which a block's partial overlaps are counted at once.
 FRAGMENT = 2048
-BROADCAST_BUCKETS = 300_000
 
 
 def most_difference(sizes: int, percent: int) -> int:
@@ -199,7 +198,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     reps = classes.select("rep")
     signatures = known.join(reps, known["doc_id"] == reps["rep"], "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
     buckets = materialize(signatures.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("signature", "a"))
-    met = signatures.join(F.broadcast(buckets) if small_enough(buckets, BROADCAST_BUCKETS) else buckets, "signature")
+    met = signatures.hint("merge").join(buckets, "signature")
     groups = connected_components(met.select("a", F.col("doc_id").alias("b")))
     groups = materialize(groups.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("grams_n"), "copies"), "node"))
     sizes = groups.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("grams_n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
