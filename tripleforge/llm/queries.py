@@ -7,6 +7,7 @@ import importlib
 #: Module, query function; a module's SQL, where it has one, belongs to its query.
 _MODULES = [
     ("decontamination", "op4_decontamination"),
+    ("toxicity", "op2_toxicity"),
     ("ngram_join", "op1_ngram_join"),
     ("pii", "op3_pii"),
     ("exact_dedup", "op5_exact_dedup"),
