@@ -12,6 +12,7 @@ _MODULES = [
     ("pii", "op3_pii"),
     ("exact_dedup", "op5_exact_dedup"),
     ("substring_dedup", "op8_substring_dedup"),
+    ("quality", "op6_quality"),
     ("license_scan", "op7_license_scan"),
     ("mixing", "op9_mix_sources"),
     ("url_filter", "op10_url_filter"),
