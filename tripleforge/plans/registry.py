@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "surface_index"
+from . import evaluation, lookups, texts
+
+FLAGSHIP = "lookup_top15"
+_MODULES = [lookups, texts, evaluation]
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
