@@ -32,8 +32,6 @@ LEAST_CONTEXTS = 5
 LEAST_PAIRS, LEAST_BEFORE = 10, 100
 #: Labels (16 bytes a row) up to this number are broadcast.
 BROADCAST_LABELS = 1_000_000
-#: Pairs that a task combines before it hands them on.
-COMBINE = 2_000_000
 
 _TOKEN = re.compile(r"\w+")
 _STEMS, _PAIRS, _PLACES = 1 << 21, 1 << 22, 1 << 23
@@ -95,35 +93,46 @@ class Model:
         return np.log(pair_toxic / pair_ordinary)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the labelled texts (pair, word, stem, before, toxic, ordinary), combined within the task, and the
-    numbers of all texts that have a stem (word -1)."""
-    names = ["pair", "word", "stem", "before", "toxic", "ordinary", "documents"]
+def _toxic_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, word, stem, before, n) of toxic texts, combined within a batch."""
+    for batch in batches:
+        found = [expressions(t or "") for t in batch.column("text").to_pylist()]
+        found = [(word, stem, pair, np.concatenate(([-1], word[:-1]))) for word, stem, pair in found if len(word)]
+        if found:
+            word, stem, pair, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys, first, n = np.unique(pair, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), word[first], stem[first], before[first], n.astype(np.int64))], ["pair", "word", "stem", "before", "n"])
 
-    def flush(held):
-        pair, word, stem, before, label = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        n = [np.bincount(inverse, weights=label == c, minlength=len(keys)).astype(np.int64) for c in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), word[first], stem[first], before[first], *n, np.zeros(len(keys), np.int64))], names)
 
-    held, count, documents = [], 0, np.zeros(1 << STEM_BITS, np.int64)
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist(), strict=True):
-            word, stem, pair = expressions(text or "")
-            if not len(word):
-                continue
-            documents[np.unique(stem) - _STEMS] += 1
-            if label is not None:
-                held.append((pair, word, stem, np.concatenate(([-1], word[:-1])), np.full(len(word), label)))
-                count += len(word)
-        if count >= COMBINE:
-            yield from flush(held)
-            held, count = [], 0
-    if held:
-        yield from flush(held)
-    some = np.flatnonzero(documents)
-    nothing = np.zeros(len(some), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nothing, nothing - 1, some + _STEMS, nothing - 1, nothing, nothing, documents[some])], names)
+def _corpus_counts(shared_places):
+    """(place, ordinary, begun, documents) of the toxic class's expressions, over all texts; place -1 has the totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared_places.value
+        lookup = np.full(_PLACES, -1, np.int32)
+        lookup[places] = np.arange(len(places), dtype=np.int32)
+        ordinary, begun, documents = (np.zeros(len(places), np.int64) for _ in range(3))
+        n_ordinary = n_stems = 0
+        for batch in batches:
+            for text, is_ordinary in zip(batch.column("text").to_pylist(), batch.column("ordinary").to_pylist(), strict=True):
+                word, stem, pair = expressions(text or "")
+                if not len(word):
+                    continue
+                stems = np.unique(stem)
+                n_stems += len(stems)
+                at = lookup[stems]
+                documents[at[at >= 0]] += 1
+                if is_ordinary:
+                    n_ordinary += len(word)
+                    at = lookup[np.concatenate((word, stem, _place(pair, _PAIRS, PAIR_BITS)))]
+                    ordinary += np.bincount(at[at >= 0], minlength=len(places))
+                    at = lookup[word[:-1]]
+                    begun += np.bincount(at[at >= 0], minlength=len(places))
+        some = np.flatnonzero(ordinary + begun + documents)
+        columns = [np.append(c, t) for c, t in ((places[some], -1), (ordinary[some], n_ordinary), (begun[some], 0), (documents[some], n_stems))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "ordinary", "begun", "documents"])
+
+    return run
 
 
 def _features(shared_model):
@@ -172,37 +181,44 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int) -> Dat
 
 
 def fit_model(rows: DataFrame) -> Model:
-    """Counts of the classes over the rows that may be learned from, and of stems over all documents."""
+    """Two passes: the pairs of toxic texts say which expressions the toxic model knows; then these are counted in all texts.
+
+    The pairs stay in a table that grows with the input; what comes to the driver has a row a hashed place of a
+    known expression."""
+    sc = rows.sparkSession.sparkContext
     own = ~F.col("fold").isin(HELD_OUT, CALIBRATION)
-    found = rows.select("text", F.when(own, F.col("label")).alias("class")).mapInArrow(_counts, "pair long, word long, stem long, before long, toxic long, ordinary long, documents long")
-    # one row a different pair (a stem's documents have word -1): what follows needs no distinct
-    pairs = materialize(found.groupBy("pair", "word", "stem", "before").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "documents")]))
-    inside = pairs.filter("word >= 0")
-    words = materialize(inside.groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("contexts")))
-    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "contexts")]
-    stems = words.groupBy("stem").agg(*sums)
-    total = words.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count(F.lit(1)).alias("types"), F.approx_count_distinct("stem").alias("stems")).first()
-    all_stems = pairs.filter("word < 0").select("stem", "documents")
-    n_documents = all_stems.agg(F.sum("documents")).first()[0] or 1
-    begun = inside.groupBy("before").agg(F.sum("toxic").alias("toxic_begun"), F.sum("ordinary").alias("ordinary_begun")).filter(f"toxic_begun >= {LEAST_BEFORE}")
-    both = F.col("toxic") + F.col("ordinary")
-    least = F.col("contexts") >= LEAST_CONTEXTS
-    of_words = (
-        words.join(stems.filter(least).select("stem", both.alias("in_stem")), "stem").groupBy("word").agg(*sums, F.sum("in_stem").alias("in_stem")).filter(least)
-        .join(begun, F.col("word") == F.col("before"), "left")
-        .select(F.col("word").alias("place"), "toxic", "ordinary", (both / F.col("in_stem")).alias("shared"), F.coalesce("toxic_begun", F.lit(0)).alias("toxic_begun"), F.coalesce("ordinary_begun", F.lit(0)).alias("ordinary_begun"))
-    )
-    none = [F.lit(0).cast("long").alias(c) for c in ("toxic_begun", "ordinary_begun")]
-    of_stems = stems.filter(least).join(all_stems, "stem").select(F.col("stem").alias("place"), "toxic", "ordinary", (F.col("documents") / n_documents).alias("shared"), *none)
+    found = rows.filter(own & (F.col("label") == 1)).select("text").mapInArrow(_toxic_pairs, "pair long, word long, stem long, before long, n long")
+    pairs = materialize(found.groupBy("pair", "word", "stem", "before").agg(F.sum("n").alias("n")))
+    counts = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")]
+    words, stems = pairs.groupBy("word", "stem").agg(*counts), pairs.groupBy("stem").agg(*counts)
+    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_distinct("stem").alias("stems")).first()
+    begun = pairs.filter("before >= 0").groupBy("before").agg(F.sum("n").alias("begun")).filter(f"begun >= {LEAST_BEFORE}")
+    known_words = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"), F.max_by("stem", "n").alias("stem")).filter(f"contexts >= {LEAST_CONTEXTS}")
+    known_words = known_words.join(begun, F.col("word") == F.col("before"), "left").select(F.col("word").alias("place"), "n", F.coalesce("begun", F.lit(0)).alias("begun"), "stem")
+    none = [F.lit(0).cast("long").alias("begun"), F.lit(-1).cast("long").alias("stem")]
+    known_stems = stems.filter(f"contexts >= {LEAST_CONTEXTS}").select(F.col("stem").alias("place"), "n", *none)
     place = F.lit(_PAIRS) + F.shiftrightunsigned("pair", 64 - PAIR_BITS)
-    of_pairs = inside.groupBy(place.alias("place")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(f"toxic >= {LEAST_PAIRS}").select("place", "toxic", "ordinary", F.lit(0.0).alias("shared"), *none)
-    table = of_words.unionByName(of_stems).unionByName(of_pairs).toArrow()
-    columns = {c: table.column(c).to_numpy().astype(np.int64 if c == "place" else float) for c in table.column_names}
-    order = np.argsort(columns["place"])
-    columns = {c: v[order] for c, v in columns.items()}
-    n_toxic, n_ordinary = max(1.0, float(total["toxic"] or 0)), max(1.0, float(total["ordinary"] or 0))
-    mass = n_toxic + n_ordinary
-    return Model(columns.pop("place"), **columns, n_toxic=n_toxic, n_ordinary=n_ordinary, word_back=min(1.0, DISCOUNT * max(1, total["types"]) / mass), stem_back=min(1.0, DISCOUNT * max(1, total["stems"]) / mass))
+    known_pairs = pairs.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_PAIRS}").select("place", "n", *none)
+    table = known_words.unionByName(known_stems).unionByName(known_pairs).toArrow()
+    places, toxic, toxic_begun, stem = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "begun", "stem"))
+    order = np.argsort(places)
+    places, toxic, toxic_begun, stem = (x[order] for x in (places, toxic, toxic_begun, stem))
+    ordinary = F.coalesce(own & (F.col("label") == 0), F.lit(False)).alias("ordinary")
+    others = rows.select("text", ordinary).mapInArrow(_corpus_counts(sc.broadcast(places)), "place long, ordinary long, begun long, documents long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("ordinary", "begun", "documents")]).toArrow()
+    found = {c: others.column(c).to_numpy() for c in others.column_names}
+    totals = {c: float(found[c][found["place"] < 0].sum()) for c in ("ordinary", "documents")}
+    at = np.searchsorted(places, found["place"][found["place"] >= 0])
+    by_place = {c: np.zeros(len(places)) for c in ("ordinary", "begun", "documents")}
+    for c, values in by_place.items():
+        values[at] = found[c][found["place"] >= 0]
+    shared = by_place["documents"] / max(1.0, totals["documents"])
+    is_word = stem >= 0
+    in_stem = np.minimum(np.searchsorted(places, stem[is_word]), max(0, len(places) - 1))
+    both = toxic + by_place["ordinary"]
+    shared[is_word] = np.minimum(1.0, both[is_word] / np.maximum(1.0, np.where(places[in_stem] == stem[is_word], both[in_stem], both[is_word])))
+    n_toxic, n_ordinary = max(1.0, float(total["n"] or 0)), max(1.0, totals["ordinary"])
+    mass = n_toxic + n_ordinary  # the backoff is the same for both classes, so what they don't know weighs nothing
+    return Model(places, toxic.astype(float), by_place["ordinary"], shared, toxic_begun.astype(float), by_place["begun"], n_toxic, n_ordinary, min(1.0, DISCOUNT * max(1, total["types"]) / mass), min(1.0, DISCOUNT * max(1, total["stems"]) / mass))
 
 
 def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
@@ -227,9 +243,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     different size. So a rare expression says what its stem does, and nothing if that is rare too. The score is the calibrated difference of the
     log-likelihoods a word; a longer text is surer.
 
-    Counts cover all rows of the classes and all documents, in a table of pairs that grows with them. The model that
-    goes to the workers has a row a hashed place of the toxic class's expressions, so it is bounded at any input
-    size (see WORD_BITS): below 120 MB.
+    Counts cover all rows of the classes and all documents. The pairs of toxic texts are a table that grows with them; the
+    model that goes to the workers has a row a hashed place of the toxic class's expressions, so it is bounded at any
+    input size (see WORD_BITS): below 120 MB.
 
     Nulls: null and empty texts score as having no word; a null id is carried along, belongs to the fold of the empty
     text and has no label; repeated rows score alike; a doc_id with contradictory labels has none. Without toxic labels, scores
