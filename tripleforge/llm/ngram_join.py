@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import load, materialize, small_enough
 from .components import connected_components
 from .hashing import U, byte_texts, mix, shingle_set, split_words, word_hashes
 
@@ -18,6 +18,8 @@ BLOCK_DOCS = 1000
 BLOCK_GRAMS = 1_000_000
 #: Shared n-grams of a fragment in which a block's partial overlaps are counted at once.
 FRAGMENT = 2048
+#: Tables of ids (up to 50 bytes a row) of at most so many rows are broadcast, so texts need not be shuffled to meet them.
+BROADCAST_IDS = 400_000
 
 
 def most_difference(sizes: int, percent: int) -> int:
@@ -66,33 +68,28 @@ def fragment_signatures(grams: np.ndarray, percent: int, cuts: list[tuple[int, i
     return np.unique(np.concatenate(out))
 
 
-def _sets(n: int, percent: int):
-    cuts = levels(percent)
-
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second, signatures = [], [], [], []
+            size, first, second = [], [], []
             for text in byte_texts(batch.column(1)):
                 grams = shingle_set(word_hashes(split_words(text)), n)
                 size.append(len(grams))
                 first.append(int(np.add.reduce(mix(grams)).view(np.int64)) if len(grams) else 0)
                 second.append(int(np.bitwise_xor.reduce(mix(grams ^ U(0x5851F42D4C957F2D))).view(np.int64)) if len(grams) else 0)
-                signatures.append(fragment_signatures(grams, percent, cuts).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
-            flat = np.concatenate(signatures) if signatures else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc_id", "n", "d1", "d2"])
 
     return run
 
 
-def _grams(n: int):
+def _signatures(n: int, percent: int):
+    cuts = levels(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(word_hashes(split_words(t)), n).view(np.int64) for t in byte_texts(batch.column(1))]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "grams"])
+            found = [fragment_signatures(shingle_set(word_hashes(split_words(t)), n), percent, cuts).view(np.int64) for t in byte_texts(batch.column(1))]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(ids, pa.int64())], ["signature", "doc_id"])
 
     return run
 
@@ -134,16 +131,13 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.n
     return total
 
 
-def _linked(percent: int):
+def _linked(n: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         copies = table.column("copies").to_numpy().astype(np.float64)
         block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-        grams = table.column("grams").combine_chunks()
-        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-        offsets, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
-        sets = [flat[offsets[k] : offsets[k + 1]] for k in range(len(ids))]
-        size = np.diff(offsets).astype(np.int64)
+        sets = [shingle_set(word_hashes(split_words(t)), n).view(np.int64) for c in table.column("text").chunks for t in byte_texts(c)]
+        size = np.array([len(x) for x in sets], np.int64)
         rows = np.flatnonzero(block == low)
         cols = rows if low[0] == high[0] else np.flatnonzero(block == high)
         degree, root = np.zeros(len(ids)), np.arange(len(ids))
@@ -188,26 +182,37 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
     Words are lower-cased (A-Z) runs of other than blanks; a text with fewer words than ``n`` is one n-gram. Null and
     empty texts have no n-gram, no link, and are their own component. A null id has a null component and
-    links with nothing. Rows that share an id are one node. An empty table gives an empty result.
+    links with nothing. Rows that share an id are one node, with the smallest of their texts. An empty table gives an empty result.
     Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(rows.mapInArrow(_sets(n, percent), "doc_id long, n long, d1 long, d2 long, signatures array<long>"))
+    if not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        single = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(rows.filter("doc_id IS NULL"))
+        nodes = _join_unique(single, n, percent)
+        again = rows.filter("doc_id IS NOT NULL").select("doc_id").join(nodes, "doc_id")
+        return again.unionByName(nodes.filter("doc_id IS NULL"))
+    return _join_unique(rows, n, percent)
+
+
+def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """``ngram_join`` of rows (doc_id, text) whose ids are unique where they aren't null."""
+    sets = materialize(rows.mapInArrow(_sets(n), "doc_id long, n long, d1 long, d2 long"))
     known = sets.filter("doc_id IS NOT NULL AND n > 0")
     classes = materialize(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = classes.select("rep")
-    signatures = known.join(reps, known["doc_id"] == reps["rep"], "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    buckets = materialize(signatures.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("signature", "a"))
-    met = signatures.hint("merge").join(buckets, "signature")
-    groups = connected_components(met.select("a", F.col("doc_id").alias("b")))
+    others = materialize(known.select("doc_id").join(classes.select("rep"), known["doc_id"] == F.col("rep"), "left_anti"))
+    reps = rows.filter("doc_id IS NOT NULL").join(F.broadcast(others) if small_enough(others, BROADCAST_IDS) else others, "doc_id", "left_anti")
+    signatures = reps.mapInArrow(_signatures(n, percent), "signature long, doc_id long")
+    buckets = materialize(signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("signature"))
+    met = materialize(signatures.hint("merge").join(buckets, "signature"))
+    least = met.groupBy("signature").agg(F.min("doc_id").alias("a"))
+    groups = connected_components(met.join(least, "signature").select("a", F.col("doc_id").alias("b")))
     groups = materialize(groups.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("grams_n"), "copies"), "node"))
     sizes = groups.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("grams_n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    member = groups.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.join(groups.select("node"), rows["doc_id"] == groups["node"], "left_semi").dropDuplicates(["doc_id"]) if _repeats(sets) else rows.join(groups.select("node"), rows["doc_id"] == groups["node"], "left_semi")
-    grams = texts.mapInArrow(_grams(n), "doc_id long, grams array<long>")
-    dealt = member.join(grams, F.col("node") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "doc_id", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "grams")
-    found = materialize(dealt.groupBy("label", "low", "high").applyInArrow(_linked(percent), "doc_id long, root long, links long"))
+    member = materialize(groups.join(sizes, "label").select("label", "node", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    texts = reps.join(F.broadcast(member) if small_enough(member, BROADCAST_IDS) else member, reps["doc_id"] == member["node"])
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "doc_id", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "text")
+    found = materialize(dealt.groupBy("label", "low", "high").applyInArrow(_linked(n, percent), "doc_id long, root long, links long"))
     forest = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     degrees = found.groupBy("doc_id").agg(F.sum("links").alias("links")).select(F.col("doc_id").alias("node"), "links")
     label = classes.join(forest.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degrees.select(F.col("node").alias("rep"), "links"), "rep", "left")
@@ -217,10 +222,6 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     return linked.unionByName(alone)
 
 
-def _repeats(sets: DataFrame) -> bool:
-    return not sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-
-
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the one with the smallest id. Rows without an id stay."""
     out = ngram_join(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
