@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, lookups, texts
+from . import evaluation, lookups, streams, texts
 
 FLAGSHIP = "lookup_top15"
-_MODULES = [lookups, texts, evaluation]
+_MODULES = [lookups, texts, evaluation, streams]
 
 
 def queries() -> dict:
