@@ -1,0 +1,246 @@
+"""The training-data operators against plain Python, SQL and round trips, and on odd inputs."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tripleforge.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, quality, substring_dedup, toxicity, url_filter
+from tripleforge.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+LONG = " ".join(f"word{k}" for k in range(6000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns that are named as the operators' own."""
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (4, "one two"), (5, LONG), (6, LONG + " end"), (None, "one two"), (None, None), (7, "ONE two"), (8, "x " * 50)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, label int, n long, copies long, id long, rep long, host string, signature long, Copy int"
+    return spark.createDataFrame([(i, t, None, None if k % 2 else "s", None, 1, 2, 3, 4, 5, "h", 6, 7) for k, (i, t) in enumerate(rows)], columns)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def brute_join(texts, n, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent, links = {i: i for i in sets}, collections.Counter()
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join(docs, texts, n, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs, n, percent).collect()}
+    assert got == brute_join(texts, n, percent)
+
+
+def test_ngram_join_blocks(docs, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 7)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs, 5, 80).collect()}
+    assert got == brute_join(texts, 5, 80)
+
+
+def test_ngram_join_odd(odd, empty):
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(odd, 5, 80).collect()]
+    assert len(got) == odd.count()
+    by = {g[0]: g[1:] for g in got if g[0] is not None}
+    assert by[1] == by[2][:1] + (1, 0) and by[3] == (0, 3, 0)
+    assert by[4][:2] == (1, 4) and by[7][:2] == (1, 4)
+    assert by[5][1] == by[6][1] == 5
+    assert all(g[2] is None for g in got if g[0] is None)
+    assert ngram_join.ngram_join(empty).count() == 0
+    assert sorted(r.doc_id for r in ngram_join.without_near_copies(odd).collect() if r.doc_id) == [1, 2, 3, 4, 4, 5, 8]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (None, 3), (7, 7)], "a long, b long")
+    got = {r.node: r.label for r in connected_components(edges).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_substring_dedup(docs, texts):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
+    words = {i: t.encode().split() for i, t in texts.items()}
+    count = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if count[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        assert got[i] == (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+
+
+def test_substring_dedup_odd(odd, empty):
+    got = substring_dedup.substring_dedup(odd).collect()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(got) == odd.count()
+    assert by[1].n_words == by[2].n_words == by[3].n_words == 0 and by[4].n_removed == 0
+    assert by[5].n_removed == by[6].n_removed == 6000 and by[6].n_words == 6001 and by[6].ends == [6000]
+    assert by[8].n_removed == 50  # the same word again and again repeats itself
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_exact_dedup(docs, texts):
+    same = collections.defaultdict(list)
+    for i, t in texts.items():
+        same[re.sub("[\x20\x09-\x0d]+", " ", t)].append(i)
+    for r in exact_dedup.exact_dedup(docs, salts=3).collect():
+        body = re.sub("[\x20\x09-\x0d]+", " ", texts[r.doc_id])
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (min(same[body]), len(same[body]), r.doc_id == min(same[body]), hashlib.sha256(body.encode()).hexdigest())
+
+
+def test_exact_dedup_odd(odd, empty):
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect()]
+    assert len(got) == odd.count()
+    assert (2, 1, 3, False) in got and (3, 3, 1, True) in got  # blanks are one space, null is empty
+    assert got.count((4, 4, 3, True)) == 2 and (None, 4, 3, False) in got
+    assert sorted(r.doc_id for r in exact_dedup.without_copies(odd).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_mixing(spark, empty, odd):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 5000, "big").when(F.col("id") < 5990, "small").otherwise(None).alias("source"))
+    got = {r.source: r["count"] for r in mixing.mix_sources(rows, {"big": 1.0, "small": 2.0}, 1.0).groupBy("source").count().collect()}
+    assert abs(got["big"] - 1500) < 150 and abs(got["small"] - 3000) < 220 and abs(got[None] - 1500) < 150
+    again = mixing.mix_sources(rows, {"big": 1.0, "small": 2.0}, 1.0)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in mixing.mix_sources(rows, {"big": 1.0, "small": 2.0}, 1.0).collect()}
+    assert mixing.mix_sources(empty).count() == 0
+    assert set(mixing.mix_sources(odd).columns) == (set(odd.columns) - {"Copy"}) | {"copy", "shuffle_key"}
+    with pytest.raises(ValueError):
+        mixing.mix_sources(rows, {"big": -1.0})
+
+
+def test_license_scan(docs, texts):
+    word = re.compile(license_scan.WORD)
+    for r in license_scan.license_scan(docs).collect():
+        w = word.findall(texts[r.doc_id].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        at = sorted((k, label) for p, label in license_scan.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_license_rules(spark, odd, empty):
+    assert len(license_scan.rules()) > 300
+    rows = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "SPDX-License-Identifier: GPL-3.0-or-later"), (3, "CC BY-NC 4.0 and MIT License"), (4, "mit dem license plate")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(rows).collect()}
+    assert got == {1: "apache,apache-2.0,generic", 2: "gpl-3.0-or-later", 3: "cc-by,cc-by-nc,mit", 4: ""}
+    assert license_scan.license_scan(odd).count() == odd.count() and license_scan.license_scan(empty).count() == 0
+
+
+def test_decontamination(spark, docs, odd, empty):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = {(r[0], r[1], r[2], r[3]) for r in con.execute(decontamination.SQL).fetchall()}
+    assert {(r.doc_id, r.item_id, r.n_item, r.n_hits) for r in decontamination.contaminated(docs, items).collect()} == want
+    short = spark.createDataFrame([(1, "one two"), (2, " ".join(f"word{k}" for k in range(100, 160))), (3, None), (4, ""), (None, "x x x x x")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(odd, short).collect()}
+    assert got == {(4, 1), (7, 1), (None, 1), (5, 2), (6, 2)}
+    assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
+    assert decontamination.least_hits(10) == 8 and 5 <= decontamination.least_hits(100) <= 16
+
+
+def test_pii(spark, odd, empty):
+    texts = ["call +1 (383) 555-6083 4565410125667261 now", "card 4565-4101-2566-7261, 4565410125667262", "ssn 123-45-6789 000-12-3456 on 2024-02-29 or 29.02.2024 and 2023-02-30", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE89 3704 0044 0532 0130 01", "ip 82.43.185.109, 300.1.1.1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(rows, "k").collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame([(k, r.text) for k, r in out.items()], "doc_id long, text string"), "k", reverse=True).collect()}
+    assert back == dict(enumerate(texts))
+    assert out[0].kinds == "card,phone" and out[3].kinds == "iban" and out[3].n_found == 2 and out[4].n_found == 1
+    assert out[0].pseudonyms[1] == out[1].pseudonyms[0].replace("-", "")  # equal values stay linked
+    assert "4565410125667262" in out[1].text and "2023-02-30" in out[2].text  # not valid
+    assert out[2].pseudonyms[1].split("-") == out[2].pseudonyms[2].split(".")[::-1]
+    mail = spark.createDataFrame([(1, "a.b@mail2.example.com token = \"1beb58b8af68854f0e01\"")], "doc_id long, text string")
+    hidden = pii.pseudonymise(mail, "k").first().text
+    assert "a.b@" not in hidden and "1beb58b8" not in hidden and hidden.startswith("u")
+    by = pii.pseudonymise(odd, "k").collect()
+    assert len(by) == odd.count() and next(r for r in by if r.doc_id == 1).text is None
+    assert pii.pseudonymise(empty, "k").count() == 0
+
+
+def test_url_filter(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/x", ""), (2, "https://w.example.net/en/1?q", '<a href="http://good.io/x">'), (3, "http://good.io/", None), (4, None, ""), (5, "no host", ""),
+            (6, "HTTP://Bad.Example.com/de/1", ""), (7, "http://bad.example.com/fr/", ""), (8, "http://linker.io#x", "<a href='//bad.example.com/de/'>"), (9, "http://x.org/fr/", ""), (10, "http://net.io/", ""),
+        ],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages).collect()}
+    assert got == {
+        1: ("a.net", "/x", "net/", "block"), 2: ("w.example.net", "/en/1", "example.net/en/", "allow"), 3: ("good.io", "/", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"),
+        6: ("bad.example.com", "/de/1", "example.com/de/", "block"), 7: ("bad.example.com", "/fr/", None, "block"), 8: ("linker.io", "", None, "block"), 9: ("x.org", "/fr/", "org/fr/", "allow"), 10: ("net.io", "/", None, "allow"),
+    }
+    assert url_filter.url_filter(pages.limit(0)).count() == 0
+
+
+def test_pagerank(spark):
+    """Against the same recursion in Python."""
+    edges = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "a"): 1.0, ("c", "d"): 1.0}
+    got = {r.host: r["rank"] for r in url_filter.spread(spark.createDataFrame([("a", 1.0)], "host string, seed double"), spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, weight double"), 0.85, 12).collect()}
+    rank = {"a": 0.15}
+    for _ in range(12):
+        new = collections.defaultdict(float, {"a": 0.15})
+        for (s, d), w in edges.items():
+            new[d] += 0.85 * w * rank.get(s, 0)
+        rank = new
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in rank.items()}
+
+
+@pytest.mark.parametrize(("score", "column", "folds", "held"), [(toxicity.score_toxicity, "toxic", 5, 0), (quality.score_quality, "quality", 3, 1)])
+def test_classifiers(spark, odd, empty, score, column, folds, held):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in score(docs, labels).collect()}
+    truth = {r.doc_id: r[column] for r in labels.collect()}
+    unseen = [i for i in truth if zlib.crc32(str(i).encode()) % folds == held]
+    assert all(got[i].held_out for i in unseen) and sum(r.held_out for r in got.values()) == sum(zlib.crc32(str(i).encode()) % folds == held for i in got)
+    assert sum(got[i].predicted == truth[i] for i in unseen) / len(unseen) > 0.9
+    assert all(0 <= r.score <= 1 for r in got.values())
+    # held-out labels don't matter
+    turned = labels.withColumn(column, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, 1 - F.col(column)).otherwise(F.col(column)))
+    assert {r.doc_id: r.score for r in score(docs, turned).collect()} == {i: r.score for i, r in got.items()}
+    none = spark.createDataFrame([(1, None, None), (None, 1, 1), (4, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    assert score(odd, none).count() == odd.count()
+    assert score(empty, labels).count() == 0

@@ -50,7 +50,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     weights = {k: float(v) for k, v in (TARGET_WEIGHTS if weights is None else weights).items()}
     if any(not math.isfinite(v) or v < 0 for v in [*weights.values(), default_weight]):
         raise ValueError("weights are finite and not negative")
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rates = materialize(repetition_rates(docs, weights, default_weight, epochs)).select(F.struct("parts", "cdf").alias("__rate"), F.col("source").alias("__source"))
     if small_enough(rates, BROADCAST_ROWS):
         rated = docs.join(F.broadcast(rates), docs["source"].eqNullSafe(rates["__source"]), "left")
