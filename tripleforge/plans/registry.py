@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, lookups, streams, texts
+from . import evaluation, lookups, more, streams, texts
 
 FLAGSHIP = "lookup_top15"
-_MODULES = [lookups, texts, evaluation, streams]
+_MODULES = [lookups, texts, evaluation, streams, more]
 
 
 def queries() -> dict:
