@@ -76,6 +76,8 @@ def test_ngram_join_blocks(docs, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
     monkeypatch.setattr(ngram_join, "FRAGMENT", 7)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "DENSE_DOCS", 1)
+    monkeypatch.setattr(ngram_join, "RARE", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs, 5, 80).collect()}
     assert got == brute_join(texts, 5, 80)
 

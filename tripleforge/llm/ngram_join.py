@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ from .components import connected_components
 from .hashing import U, byte_texts, mix, shingle_set, split_words, word_hashes
 
 #: Documents and n-grams of a block of a large candidate group; a task holds two blocks.
-BLOCK_DOCS = 1000
-BLOCK_GRAMS = 1_000_000
+BLOCK_DOCS = 4000
+BLOCK_GRAMS = 2_000_000
+#: In larger blocks, n-grams of at most so many of their documents are counted by their pairs, others in dense fragments.
+RARE, DENSE_DOCS = 16, 64
 #: Shared n-grams of a fragment in which a block's partial overlaps are counted at once.
 FRAGMENT = 2048
 #: Tables of ids (up to 50 bytes a row) of at most so many rows are broadcast, so texts need not be shuffled to meet them.
@@ -101,18 +104,28 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.n
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    new = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
     code = np.cumsum(new) - 1
-    shared = np.bincount(code)[code] > 1
-    owner, code = owner[shared], code[shared]
+    holders = np.bincount(code)[code] if len(code) else code
     total = np.zeros((len(rows), len(cols)), np.float32)
+    row_of, col_of = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
+    same = rows is cols
+    rare = RARE if len(sets) > DENSE_DOCS else 0
+    for m in range(2, rare + 1):  # the fragment of rare n-grams: the holders of each, side by side
+        held = owner[holders == m].reshape(-1, m)
+        for a in range(m):
+            for b in range(m):
+                if a != b and len(held):
+                    r, c = row_of[held[:, a]], col_of[held[:, b]]
+                    both = (r >= 0) & (c >= 0)
+                    np.add.at(total, (r[both], c[both]), 1)
+    often = holders > max(1, rare)
+    owner, code = owner[often], code[often]
     if not len(code):
         return total
     code = np.unique(code, return_inverse=True)[1]
-    row_of, col_of = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
     cuts = np.searchsorted(code, np.arange(0, code[-1] + 1 + FRAGMENT, FRAGMENT))
-    same = rows is cols
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a == b:
             continue
@@ -137,29 +150,23 @@ def _linked(n: int, percent: int):
         copies = table.column("copies").to_numpy().astype(np.float64)
         block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
         sets = [shingle_set(word_hashes(split_words(t)), n).view(np.int64) for c in table.column("text").chunks for t in byte_texts(c)]
-        size = np.array([len(x) for x in sets], np.int64)
+        size = np.array([len(x) for x in sets], float)
         rows = np.flatnonzero(block == low)
         cols = rows if low[0] == high[0] else np.flatnonzero(block == high)
         degree, root = np.zeros(len(ids)), np.arange(len(ids))
-        if len(rows) and len(cols):
-            both = overlaps(sets, rows, cols).astype(np.int64)
-            link = both * 100 >= percent * (size[rows][:, None] + size[cols][None, :] - both)
+        total = overlaps(sets, rows, cols) if len(rows) and len(cols) else np.zeros((0, 0))
+        for at in range(0, len(total), 256):
+            part, both = rows[at : at + 256], total[at : at + 256].astype(float)
+            link = both * 100 >= percent * (size[part][:, None] + size[cols][None, :] - both)
             if cols is rows:
-                np.fill_diagonal(link, False)
-                degree[rows] = link @ copies[rows]
+                link[np.arange(len(part)), np.arange(at, at + len(part))] = False
             else:
-                degree[rows] = link @ copies[cols]
-                degree[cols] = link.T @ copies[rows]
-            left, right = rows[np.nonzero(link)[0]], cols[np.nonzero(link)[1]]
-            while True:  # smallest row among neighbours, until nothing changes
-                least = np.minimum(root[left], root[right])
-                new = root.copy()
-                np.minimum.at(new, left, least)
-                np.minimum.at(new, right, least)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+                degree[cols] += link.T @ copies[part]
+            degree[part] += link @ copies[cols]
+            for row, linked in zip(part[link.any(1)], link[link.any(1)], strict=True):
+                roots = np.unique(np.append(root[cols[linked]], root[row]))
+                if len(roots) > 1:
+                    root[np.isin(root, roots)] = roots[0]
         smallest = ids.copy()
         np.minimum.at(smallest, root, ids)
         return pa.table({"doc_id": ids, "root": smallest[root], "links": degree.astype(np.int64)})
@@ -176,7 +183,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     2. The global order of n-grams is cut into fragments, more than similar sets can differ in. So they share a whole
        fragment; classes meet by its signature in an aggregation (no pairs), which gives candidate groups.
     3. In each group, partial overlaps are counted fragment by fragment and summed per pair, in blocks of
-       BLOCK_DOCS documents or BLOCK_GRAMS n-grams: a large group is dealt by pairs of blocks over many tasks.
+       BLOCK_DOCS documents or BLOCK_GRAMS n-grams: a large group is cut into bands of size, of which only neighbouring ones
+       can hold similar sets, and is dealt by pairs of blocks over many tasks.
        Only a spanning forest and numbers of links leave a task, no pairs.
     4. Components of the forests, then the copies.
 
@@ -207,11 +215,26 @@ def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
     least = met.groupBy("signature").agg(F.min("doc_id").alias("a"))
     groups = connected_components(met.join(least, "signature").select("a", F.col("doc_id").alias("b")))
     groups = materialize(groups.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("grams_n"), "copies"), "node"))
-    sizes = groups.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("grams_n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    member = materialize(groups.join(sizes, "label").select("label", "node", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("grams_n") / BLOCK_GRAMS)).cast("long").alias("blocks")
+    large = groups.groupBy("label").agg(count).filter("blocks > 1").select("label", F.lit(True).alias("large"))
+    # similar sets of a large group are in the same or in neighbouring bands of size
+    band = F.when(F.col("large"), F.floor(F.log(F.col("grams_n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("long").alias("band")
+    member = groups.join(large, "label", "left").select("label", "node", "copies", "grams_n", band)
+    bands = materialize(member.groupBy("label", "band").agg(count))
+    beside = lambda step, name: bands.select("label", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    bands = bands.join(beside(-1, "above"), ["label", "band"], "left").join(beside(1, "below"), ["label", "band"], "left").fillna(0, ["above", "below"])
+    code = lambda at, k: (at * (1 << 32) + k).cast("long")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    meets = F.concat(
+        F.transform(upto("blocks"), lambda k: pair(code(F.col("band"), F.least(own, k)), code(F.col("band"), F.greatest(own, k)))),
+        F.transform(upto("above"), lambda k: pair(code(F.col("band"), own), code(F.col("band") + 1, k))),
+        F.transform(upto("below"), lambda k: pair(code(F.col("band") - 1, k), code(F.col("band"), own))),
+    )
+    member = materialize(member.join(bands, ["label", "band"]).select("label", "node", "copies", code(F.col("band"), own).alias("block"), meets.alias("meets")))
     texts = reps.join(F.broadcast(member) if small_enough(member, BROADCAST_IDS) else member, reps["doc_id"] == member["node"])
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "doc_id", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "text")
+    dealt = texts.withColumn("meet", F.explode("meets")).select("label", "doc_id", "copies", "block", "meet.low", "meet.high", "text")
     found = materialize(dealt.groupBy("label", "low", "high").applyInArrow(_linked(n, percent), "doc_id long, root long, links long"))
     forest = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     degrees = found.groupBy("doc_id").agg(F.sum("links").alias("links")).select(F.col("doc_id").alias("node"), "links")
