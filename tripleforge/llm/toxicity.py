@@ -30,6 +30,8 @@ DISCOUNT = 0.75
 LEAST_CONTEXTS = 5
 #: Pairs are used from so many toxic occurrences, after words with so many.
 LEAST_PAIRS, LEAST_BEFORE = 10, 100
+#: Known places of a block of counts; a row of counts has 24 bytes a place.
+COUNT_BLOCK = 4096
 #: Labels (16 bytes a row) up to this number are broadcast.
 BROADCAST_LABELS = 1_000_000
 
@@ -105,13 +107,16 @@ def _toxic_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _corpus_counts(shared_places):
-    """(place, ordinary, begun, documents) of the toxic class's expressions, over all texts; place -1 has the totals."""
+    """(block, counts) of the toxic class's expressions, over all texts of a task: its count vectors, cut into blocks of
+    COUNT_BLOCK known places, each with the counts ordinary, begun and documents side by side. Blocks without a count are
+    left out; block -1 has the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared_places.value
         lookup = np.full(_PLACES, -1, np.int32)
         lookup[places] = np.arange(len(places), dtype=np.int32)
-        ordinary, begun, documents = (np.zeros(len(places), np.int64) for _ in range(3))
+        counts = np.zeros((3, len(places)), np.int64)
+        ordinary, begun, documents = counts
         n_ordinary = n_stems = 0
         for batch in batches:
             for text, is_ordinary in zip(batch.column("text").to_pylist(), batch.column("ordinary").to_pylist(), strict=True):
@@ -128,9 +133,30 @@ def _corpus_counts(shared_places):
                     ordinary += np.bincount(at[at >= 0], minlength=len(places))
                     at = lookup[word[:-1]]
                     begun += np.bincount(at[at >= 0], minlength=len(places))
-        some = np.flatnonzero(ordinary + begun + documents)
-        columns = [np.append(c, t) for c, t in ((places[some], -1), (ordinary[some], n_ordinary), (begun[some], 0), (documents[some], n_stems))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "ordinary", "begun", "documents"])
+        block, packed = [-1], [np.array([n_ordinary, 0, n_stems], np.int64).tobytes()]
+        for k, start in enumerate(range(0, len(places), COUNT_BLOCK)):
+            part = counts[:, start : start + COUNT_BLOCK]
+            if part.any():
+                block.append(k)
+                packed.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _sum_counts(shared_places):
+    """(place, ordinary, begun, documents) summed over the tasks that counted; place -1 has the totals. A batch at a time is
+    held, and one sum a block of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, sums = shared_places.value, {}
+        for batch in batches:
+            for k, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(packed, np.int64).reshape(3, -1)
+                sums[k] = sums[k] + part if k in sums else part
+        for k, total in sums.items():
+            place = places[k * COUNT_BLOCK : (k + 1) * COUNT_BLOCK] if k >= 0 else np.array([-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (place, *total)], ["place", "ordinary", "begun", "documents"])
 
     return run
 
@@ -204,7 +230,9 @@ def fit_model(rows: DataFrame) -> Model:
     order = np.argsort(places)
     places, toxic, toxic_begun, stem = (x[order] for x in (places, toxic, toxic_begun, stem))
     ordinary = F.coalesce(own & (F.col("label") == 0), F.lit(False)).alias("ordinary")
-    others = rows.select("text", ordinary).mapInArrow(_corpus_counts(sc.broadcast(places)), "place long, ordinary long, begun long, documents long").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("ordinary", "begun", "documents")]).toArrow()
+    shared_places = sc.broadcast(places)
+    counts = rows.select("text", ordinary).mapInArrow(_corpus_counts(shared_places), "block long, counts binary")
+    others = counts.repartition("block").mapInArrow(_sum_counts(shared_places), "place long, ordinary long, begun long, documents long").toArrow()
     found = {c: others.column(c).to_numpy() for c in others.column_names}
     totals = {c: float(found[c][found["place"] < 0].sum()) for c in ("ordinary", "documents")}
     at = np.searchsorted(places, found["place"][found["place"] >= 0])
