@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,19 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hash_sample(rows: DataFrame, size: int, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``features`` of at most ``size`` rows, those with the smallest hashes of their doc_id (which ``features`` keeps).
+
+    The rows are counted, and only those below a hash that some more than ``size`` rows are expected under are looked at and
+    sorted. So features are made where the rows are, and a task sends its share of the sample and not ``size`` rows of
+    its own. Where many rows share an id, there can be fewer."""
+    n, h = rows.count(), F.xxhash64("doc_id")
+    share = (size + 8 * size**0.5 + 64) / max(1, n)
+    if share < 1:
+        rows = rows.filter(h <= int(-(1 << 63) + share * (1 << 64)))
+    return features(rows).orderBy(h, "doc_id").limit(size)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only, as the contracts ask."""
     return F.translate(c, UPPER, UPPER.lower())

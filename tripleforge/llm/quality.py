@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, load
+from .common import fold, hash_sample, load
 from .hashing import byte_texts
 from .toxicity import fit_logistic, labelled
 
@@ -157,8 +157,9 @@ def _scores(model):
     return run
 
 
-def _sample(rows: DataFrame, part: int, size: int) -> DataFrame:
-    return rows.filter((F.col("fold") == part) & F.col("label").isNotNull()).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
+def _sample(rows: DataFrame, part: int, size: int, features, schema: str) -> DataFrame:
+    own = rows.filter((F.col("fold") == part) & F.col("label").isNotNull()).select("doc_id", "label", "text")
+    return hash_sample(own, size, lambda some: some.mapInArrow(features, schema))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,14 +175,13 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both kinds the score is 0.5 for all. Language, source and id are no inputs. Other columns are not looked at.
     """
     rows = labelled(docs, labels, "quality", FOLDS)
-    table = _sample(rows, FIT, FIT_ROWS).select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x array<double>").toArrow()
+    table = _sample(rows, FIT, FIT_ROWS, _features, "doc_id long, label int, x array<double>").toArrow()
     y = table.column("label").to_numpy().astype(int) if table.num_rows else np.zeros(0, int)
     width = 3 * N_FEATURES + 1
     model, beta = (np.zeros(width), np.zeros((2, 2))), np.zeros(3)
     if len(set(y.tolist())) == 2:
         model = fit_field([with_neighbours(np.array(v).reshape(-1, N_FEATURES)) for v in table.column("x").to_pylist()], y)
-        sample = _sample(rows, CALIBRATION, CALIBRATION_ROWS)
-        seen = sample.select("doc_id", "label", "text").mapInArrow(_calibration(model), "label int, good_share double, mean_score double").toArrow()
+        seen = _sample(rows, CALIBRATION, CALIBRATION_ROWS, _calibration(model), "doc_id long, label int, good_share double, mean_score double").toArrow()
         z = seen.column("label").to_numpy().astype(float) if seen.num_rows else np.zeros(0)
         if len(set(z.tolist())) == 2:
             share, mean = (seen.column(c).to_numpy() for c in ("good_share", "mean_score"))
@@ -200,7 +200,7 @@ def _calibration(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in scores(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column("label"), out.column("good_share"), out.column("mean_score")], ["label", "good_share", "mean_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), out.column("good_share"), out.column("mean_score")], ["doc_id", "label", "good_share", "mean_score"])
 
     return run
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, load, materialize, small_enough
+from .common import fold, hash_sample, load, materialize, small_enough
 from .hashing import U, mix
 
 FOLDS = 5
@@ -178,6 +178,18 @@ def _features(shared_model):
     return run
 
 
+def _calibration(shared_model):
+    """(doc_id, label, n, mean) of labelled texts."""
+    features = _features(shared_model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in features(iter([batch])):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), out.column("n"), out.column("mean")], ["doc_id", "label", "n", "mean"])
+
+    return run
+
+
 def design(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Features of the calibration: the normalised difference, weighed by length, and the length."""
     n = np.asarray(n, float)
@@ -253,9 +265,9 @@ def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
     """Model and calibration from ``labelled`` rows; the held-out fold's labels are not looked at."""
     sc = rows.sparkSession.sparkContext
     model = fit_model(rows)
-    seen = rows.filter((F.col("fold") == CALIBRATION) & F.col("label").isNotNull())
-    features = seen.select("doc_id", "text").mapInArrow(_features(sc.broadcast(vars(model))), "doc_id long, n long, mean double").join(seen.select("doc_id", "label"), "doc_id")
-    sample = features.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("n", "mean", "label").toArrow()
+    seen = rows.filter((F.col("fold") == CALIBRATION) & F.col("label").isNotNull()).select("doc_id", "label", "text")
+    features = _calibration(sc.broadcast(vars(model)))
+    sample = hash_sample(seen, CALIBRATION_ROWS, lambda some: some.mapInArrow(features, "doc_id long, label int, n long, mean double")).toArrow()
     y = sample.column("label").to_numpy().astype(float)
     x = design(sample.column("n").to_numpy(), sample.column("mean").to_numpy())
     return model, fit_logistic(x, y) if len(y) else np.array([-3.0, 1.0, 1.0, 0.0])
