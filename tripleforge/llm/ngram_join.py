@@ -23,6 +23,8 @@ RARE, DENSE_DOCS = 16, 64
 FRAGMENT = 2048
 #: Tables of ids (up to 50 bytes a row) of at most so many rows are broadcast, so texts need not be shuffled to meet them.
 BROADCAST_IDS = 400_000
+#: The lists of blocks that members of large groups meet have at most so many entries (up to 40 bytes each) in a broadcast.
+BROADCAST_MEETS = 1_000_000
 
 
 def most_difference(sizes: int, percent: int) -> int:
@@ -233,7 +235,8 @@ def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
         F.transform(upto("below"), lambda k: pair(code(F.col("band") - 1, k), code(F.col("band"), own))),
     )
     member = materialize(member.join(bands, ["label", "band"]).select("label", "node", "copies", code(F.col("band"), own).alias("block"), meets.alias("meets")))
-    texts = reps.join(F.broadcast(member) if small_enough(member, BROADCAST_IDS) else member, reps["doc_id"] == member["node"])
+    few = small_enough(member, BROADCAST_IDS) and small_enough(member.select(F.explode("meets")), BROADCAST_MEETS)
+    texts = reps.join(F.broadcast(member) if few else member, reps["doc_id"] == member["node"])
     dealt = texts.withColumn("meet", F.explode("meets")).select("label", "doc_id", "copies", "block", "meet.low", "meet.high", "text")
     found = materialize(dealt.groupBy("label", "low", "high").applyInArrow(_linked(n, percent), "doc_id long, root long, links long"))
     forest = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
