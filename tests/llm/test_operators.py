@@ -201,6 +201,21 @@ def test_pii(spark, odd, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_pii_whole_ranges(spark):
+    """Phones of any area code and IBANs of up to 34 characters are replaced, and come back."""
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "017-555-7713", "1 132.555.1352", "(000) 000-0000", "+1 (999) 999-9999"]
+    body = "1234567890" * 3
+    check = 98 - int(body + "343400") % 97  # YY: 3434
+    ibans = ["MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015", "RU03 0445 2522 5408 1781 0538 0913 1041 9", f"YY{check:02d}{body}"]
+    rows = spark.createDataFrame([(k, f"at {v} now") for k, v in enumerate(phones + ibans)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(rows, "k").collect()}
+    for k, v in enumerate(phones + ibans):
+        assert out[k].kinds == ("phone" if k < len(phones) else "iban") and v not in out[k].text and len(out[k].pseudonyms[0]) == len(v)
+    assert re.sub("[^0-9]", "", out[0].pseudonyms[0])[-10:] == re.sub("[^0-9]", "", out[2].pseudonyms[0])
+    back = pii.pseudonymise(spark.createDataFrame([(k, r.text) for k, r in out.items()], "doc_id long, text string"), "k", reverse=True).collect()
+    assert {r.doc_id: r.text for r in back} == {r.doc_id: r.text for r in rows.collect()}
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame(
         [

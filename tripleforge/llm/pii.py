@@ -21,7 +21,7 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "date": _ALONE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1[0-9]{4})(?![0-9A-Za-z])",
     "ssn": _ALONE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": _ALONE + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -36,10 +36,10 @@ def _bind(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def feistel(left: str, right: str, a: str, b: str, key: str, kind: str, reverse: bool = False) -> str:
+def feistel(left: str, right: str, a: str, b: str, key: str, kind: str, reverse: bool = False, hex_digits: str = "13") -> str:
     """SQL struct (l, r): (left, right) of Z_a x Z_b under a keyed permutation: ROUNDS alternating additions
-    of a keyed hash of the other half. ``reverse`` undoes it."""
-    mix = lambda half: f"cast(conv(substr(sha2(cast(concat_ws('|', {_q(key)}, {_q(kind)}, i, {half}) as binary), 256), 1, 13), 16, 10) as bigint)"
+    of a keyed hash of the other half, of so many hex digits (15 at most). ``reverse`` undoes it."""
+    mix = lambda half: f"cast(conv(substr(sha2(cast(concat_ws('|', {_q(key)}, {_q(kind)}, i, {half}) as binary), 256), 1, {hex_digits}), 16, 10) as bigint)"
     sign, steps = ("-", f"sequence({ROUNDS - 1}, 0)") if reverse else ("+", f"sequence(0, {ROUNDS - 1})")
     return f"""aggregate({steps}, named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint)), (s, i) -> if(i % 2 = 0,
         named_struct('l', pmod(s.l {sign} {mix('s.r')} % cast({a} as bigint), cast({a} as bigint)), 'r', s.r),
@@ -51,10 +51,10 @@ def _digits(v: str) -> str:
 
 
 def _permuted_digits(d: str, key: str, kind: str, reverse: bool) -> str:
-    """SQL: a string of up to 26 digits under the permutation of all strings of its length (one digit: as it is)."""
+    """SQL: a string of up to 30 digits under the permutation of all strings of its length (one digit: as it is)."""
     h = f"(length({d}) div 2)"
     ten = lambda n: f"cast(rpad('1', 1 + {n}, '0') as bigint)"
-    body = _bind("f", feistel(f"substr({d}, 1, {h})", f"substr({d}, {h} + 1)", ten(h), ten(f"(length({d}) - {h})"), key, kind, reverse), f"concat(lpad(f.l, {h}, '0'), lpad(f.r, length({d}) - {h}, '0'))")
+    body = _bind("f", feistel(f"substr({d}, 1, {h})", f"substr({d}, {h} + 1)", ten(h), ten(f"(length({d}) - {h})"), key, kind, reverse, f"if(length({d}) > 26, 15, 13)"), f"concat(lpad(f.l, {h}, '0'), lpad(f.r, length({d}) - {h}, '0'))")
     return f"if(length({d}) < 2, {d}, {body})"
 
 
@@ -97,7 +97,7 @@ def replacement(key: str, reverse: bool = False) -> str:
     area, group, serial = "cast(substr(v, 1, 3) as int)", "cast(substr(v, 5, 2) as int)", "cast(substr(v, 8, 4) as int)"
     valid_ssn = f"{area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0"
     ssn = _bind("f", feistel(f"({area} - if({area} > 666, 2, 1)) * 99 + {group} - 1", f"{serial} - 1", "88902", "9999", key, "ssn", reverse), _bind("n", "cast(f.l div 99 as int)", "concat_ws('-', lpad(n + if(n >= 665, 2, 1), 3, '0'), lpad(f.l % 99 + 1, 2, '0'), lpad(f.r + 1, 4, '0'))"))
-    ten = _bind("d", f"right({_digits('v')}, 10)", _bind("f", feistel("cast(substr(d, 1, 3) as int) - 200", "cast(substr(d, 4) as bigint)", "800", "10000000", key, "phone", reverse), "concat(f.l + 200, lpad(f.r, 7, '0'))"))
+    ten = _bind("d", f"right({_digits('v')}, 10)", _bind("f", feistel("cast(substr(d, 1, 3) as int)", "cast(substr(d, 4) as bigint)", "1000", "10000000", key, "phone", reverse), "concat(lpad(f.l, 3, '0'), lpad(f.r, 7, '0'))"))
     phone = _bind("t", ten, _bind("y", f"concat(left({_digits('v')}, length({_digits('v')}) - 10), t)", _filled("v", "y")))
     card = _bind("d", _digits("v"), _bind("m", "substr(d, 2, length(d) - 2)", _bind("p", f"concat(left(d, 1), {_permuted_digits('m', key, 'card', reverse)})", _bind("y", f"concat(p, (10 - {_luhn_sum('p', 0)} % 10) % 10)", _filled("v", "y")))))
     plain = "replace(v, ' ', '')"
@@ -106,7 +106,7 @@ def replacement(key: str, reverse: bool = False) -> str:
       when v rlike '^(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\\\\s*[=:]' then {out('secret', secret)}
       when v rlike '^(AKIA[0-9A-Z]|gh[pousr]_|sk-)' then {out('access_key', access)}
       when contains(v, '@') then {out('email', email)}
-      when v rlike '^[A-Z]{{2}}[0-9]{{2}}' then if(length({plain}) between 15 and 30 and {_mod97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))")} = 1, {out('iban', iban)}, null)
+      when v rlike '^[A-Z]{{2}}[0-9]{{2}}' then if(length({plain}) between 15 and 34 and {_mod97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))")} = 1, {out('iban', iban)}, null)
       when v rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then if(forall({octets}, x -> x < 256), {out('ip', ip)}, null)
       when v rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}([./-])[0-9]{{2}}[./-][0-9]{{4}})$' then {date}
       when v rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({valid_ssn}, {out('ssn', ssn)}, null)
