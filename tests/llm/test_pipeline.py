@@ -51,6 +51,14 @@ def test_odd_rows(spark):
     assert {r.doc_id for r in rows.collect()} == {1, 3}
 
 
+def test_exact_copies_ids(spark):
+    """A text of its own stays without an id, or with an id that another text has too; one row of each text stays."""
+    rows = [(None, "a", "s"), (None, "b b", "s"), (None, "b b", "t"), (None, "b \tb", "s"), (1, "c", "s"), (1, "d", "s"), (1, "d", "s"), (2, "d", "s"), (None, "d", "s"), (None, None, "s"), (None, "", "s")]
+    out = corpus_pipeline.exact_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string"), SF)
+    assert out.columns == ["doc_id", "text", "text_sha256"]
+    assert sorted((r.doc_id or 0, " ".join((r.text or "").split())) for r in out.collect()) == [(0, ""), (0, "a"), (0, "b b"), (1, "c"), (1, "d")]
+
+
 def test_imports_without_session():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert 'pipeline' in q; print(sum(n[:2] == 'op' and n[2:].split('_')[0].isdigit() for n in q))"], cwd=root, capture_output=True, text=True, timeout=120)

@@ -45,13 +45,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; a row that is repeated with its id stays once."""
-    verdict = exact_dedup(docs)
-    out = docs.join(verdict.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-    again = materialize(out.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return out
-    return out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """One row of each group of equal texts, all columns: one with the group's smallest id, or without id if the group has none."""
+    kept = exact_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha256")).distinct()
+    rows = docs.select("doc_id", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256")), "left_semi")
+    again = materialize(out.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_sha256").alias("again_sha256")))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_sha256") == F.col("again_sha256"))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]))
+    return out.select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
