@@ -261,3 +261,14 @@ def test_classifiers(spark, odd, empty, score, column, folds, held):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1), (4, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     assert score(odd, none).count() == odd.count()
     assert score(empty, labels).count() == 0
+
+
+def test_toxicity_counts_all_folds(spark):
+    """Expressions that only toxic texts of one fold have are known to the model."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % toxicity.FOLDS == 4]
+    others = [i for i in range(400) if zlib.crc32(str(i).encode()) % toxicity.FOLDS not in (toxicity.HELD_OUT, 4)]
+    toxic = [(i, f"w{k} frobnicator v{k} frobnicator", 1) for k, i in enumerate(ids[:20])] + [(i, "grumble bad grumble", 1) for i in others[:20]]
+    rows = toxic + [(i, f"plain words of text w{k} v{k}", 0) for k, i in enumerate(ids[20:40] + others[20:80])] + [(1000, "a frobnicator", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
+    assert {r.doc_id: r.mean_ratio for r in toxicity.score_toxicity(docs, labels).collect()}[1000] > 0

@@ -17,9 +17,7 @@ from .hashing import U, mix
 
 FOLDS = 5
 HELD_OUT = 0
-#: The labelled rows of this fold calibrate the score; the other ones that may be learned from give the counts.
-CALIBRATION = 4
-#: Largest number of calibration rows.
+#: Largest number of rows that calibrate the score, each by the model without its own counts.
 CALIBRATION_ROWS = 20_000
 #: Bits of the places of words, stems and word pairs: the model has at most the sum of these powers of two rows.
 WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 20
@@ -43,6 +41,12 @@ def _place(h: np.ndarray, base: int, bits: int) -> np.ndarray:
     return base + (h >> U(64 - bits)).astype(np.int64)
 
 
+def _times(among: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each of ``of`` is ``among`` others; all of them are."""
+    values, n = np.unique(among, return_counts=True)
+    return n[np.searchsorted(values, of)]
+
+
 def expressions(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place of each word, of its stem (its first letters), and the hash of the pair that it ends; the first word follows 0."""
     tokens = _TOKEN.findall(text.lower())
@@ -59,6 +63,7 @@ class Model:
     places: np.ndarray  # sorted
     toxic: np.ndarray  # occurrences
     ordinary: np.ndarray
+    contexts: np.ndarray  # words and stems: different pairs of toxic texts that they end
     shared: np.ndarray  # words: share of their stem in both classes; stems: share in all documents
     toxic_begun: np.ndarray  # words: pairs that they begin
     ordinary_begun: np.ndarray
@@ -73,25 +78,39 @@ class Model:
         out[self.places] = np.arange(len(self.places), dtype=np.int32)
         return out
 
-    def ratios(self, lookup: np.ndarray, word: np.ndarray, stem: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log p(word | word before, toxic) - log p(word | word before, ordinary) of each word."""
+    def ratios(self, lookup: np.ndarray, word: np.ndarray, stem: np.ndarray, pair: np.ndarray, label: int | None = None) -> np.ndarray:
+        """log p(word | word before, toxic) - log p(word | word before, ordinary) of each word. With its label, a text that was
+        counted is taken out of the counts first."""
         if not len(self.places) or not len(word):
             return np.zeros(len(word))
         w, s, b = lookup[word], lookup[stem], lookup[_place(pair, _PAIRS, PAIR_BITS)]
+        before = np.concatenate(([-1], w[:-1]))
         at = lambda a, k: np.where(k >= 0, a[k], 0.0)
-        lower = lambda n, k, total: np.maximum(at(n, k) - DISCOUNT, 0) / total
+        toxic, ordinary = ([at(a, k) for k in (w, s, b)] for a in (self.toxic, self.ordinary))
+        begun_toxic, begun_ordinary = at(self.toxic_begun, before), at(self.ordinary_begun, before)
+        n_toxic, n_ordinary, share = self.n_toxic, self.n_ordinary, at(self.shared, w)
+        if label is not None:
+            first = np.unique(pair, return_index=True)[1]
+            mine = [_times(k, k) for k in (w, s, b)]
+            if label:
+                toxic, begun_toxic, n_toxic = [np.maximum(c - m, 0) for c, m in zip(toxic, mine, strict=True)], begun_toxic - _times(before, before), max(1.0, n_toxic - len(word))
+            else:
+                ordinary, begun_ordinary, n_ordinary = [np.maximum(c - m, 0) for c, m in zip(ordinary, mine, strict=True)], begun_ordinary - _times(before, before), max(1.0, n_ordinary - len(word))
+            share = np.minimum(1.0, (toxic[0] + ordinary[0]) / np.maximum(1.0, toxic[1] + ordinary[1]))
+            if label:  # what only this text made known isn't
+                w, s = (np.where(at(self.contexts, k) - _times(k[first], k) >= LEAST_CONTEXTS, k, -1) for k in (w, s))
+                b = np.where(toxic[2] >= LEAST_PAIRS, b, -1)
+        lower = lambda n, total: np.maximum(n - DISCOUNT, 0) / total
         shared = np.where(s >= 0, at(self.shared, s), 1.0)  # a stem that isn't the toxic class's own says nothing
-        stem_toxic = np.where(s >= 0, lower(self.toxic, s, self.n_toxic) + self.stem_back * shared, 1.0)
-        stem_ordinary = np.where(s >= 0, lower(self.ordinary, s, self.n_ordinary) + self.stem_back * shared, 1.0)
+        stem_toxic = np.where(s >= 0, lower(toxic[1], n_toxic) + self.stem_back * shared, 1.0)
+        stem_ordinary = np.where(s >= 0, lower(ordinary[1], n_ordinary) + self.stem_back * shared, 1.0)
         own = (w >= 0) & (s >= 0)
-        word_toxic = np.where(own, lower(self.toxic, w, self.n_toxic) + self.word_back * stem_toxic * at(self.shared, w), stem_toxic)
-        word_ordinary = np.where(own, lower(self.ordinary, w, self.n_ordinary) + self.word_back * stem_ordinary * at(self.shared, w), stem_ordinary)
-        before = np.concatenate(([-1], w[:-1]))
-        begun_toxic, begun_ordinary = at(self.toxic_begun, before), at(self.ordinary_begun, before)
+        word_toxic = np.where(own, lower(toxic[0], n_toxic) + self.word_back * stem_toxic * share, stem_toxic)
+        word_ordinary = np.where(own, lower(ordinary[0], n_ordinary) + self.word_back * stem_ordinary * share, stem_ordinary)
         use = (b >= 0) & own & (begun_toxic >= LEAST_BEFORE) & (begun_ordinary >= LEAST_BEFORE)
         begun_toxic, begun_ordinary = np.maximum(begun_toxic, 1.0), np.maximum(begun_ordinary, 1.0)
-        pair_toxic = np.where(use, np.maximum(at(self.toxic, b) - DISCOUNT, 0) / begun_toxic + DISCOUNT * word_toxic, word_toxic)
-        pair_ordinary = np.where(use, np.maximum(at(self.ordinary, b) - DISCOUNT, 0) / begun_ordinary + DISCOUNT * word_ordinary, word_ordinary)
+        pair_toxic = np.where(use, np.maximum(toxic[2] - DISCOUNT, 0) / begun_toxic + DISCOUNT * word_toxic, word_toxic)
+        pair_ordinary = np.where(use, np.maximum(ordinary[2] - DISCOUNT, 0) / begun_ordinary + DISCOUNT * word_ordinary, word_ordinary)
         return np.log(pair_toxic / pair_ordinary)
 
 
@@ -168,24 +187,15 @@ def _features(shared_model):
         model = Model(**shared_model.value)
         lookup = model.lookup()
         for batch in batches:
+            counted = "label" in batch.schema.names
+            labels = batch.column("label").to_pylist() if counted else [None] * batch.num_rows
             n, mean = [], []
-            for text in batch.column("text").to_pylist():
-                ratio = model.ratios(lookup, *expressions(text or ""))
+            for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
+                ratio = model.ratios(lookup, *expressions(text or ""), label)
                 n.append(len(ratio))
                 mean.append(float(ratio.mean()) if len(ratio) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mean, pa.float64())], ["doc_id", "n", "mean"])
-
-    return run
-
-
-def _calibration(shared_model):
-    """(doc_id, label, n, mean) of labelled texts."""
-    features = _features(shared_model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in features(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), out.column("n"), out.column("mean")], ["doc_id", "label", "n", "mean"])
+            columns = {"doc_id": batch.column("doc_id")} | ({"label": batch.column("label")} if counted else {}) | {"n": pa.array(n, pa.int64()), "mean": pa.array(mean, pa.float64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -224,7 +234,7 @@ def fit_model(rows: DataFrame) -> Model:
     The pairs stay in a table that grows with the input; what comes to the driver has a row a hashed place of a
     known expression."""
     sc = rows.sparkSession.sparkContext
-    own = ~F.col("fold").isin(HELD_OUT, CALIBRATION)
+    own = F.col("fold") != HELD_OUT
     found = rows.filter(own & (F.col("label") == 1)).select("text").mapInArrow(_toxic_pairs, "pair long, word long, stem long, before long, n long")
     pairs = materialize(found.groupBy("pair", "word", "stem", "before").agg(F.sum("n").alias("n")))
     counts = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")]
@@ -232,15 +242,16 @@ def fit_model(rows: DataFrame) -> Model:
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_distinct("stem").alias("stems")).first()
     begun = pairs.filter("before >= 0").groupBy("before").agg(F.sum("n").alias("begun")).filter(f"begun >= {LEAST_BEFORE}")
     known_words = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"), F.max_by("stem", "n").alias("stem")).filter(f"contexts >= {LEAST_CONTEXTS}")
-    known_words = known_words.join(begun, F.col("word") == F.col("before"), "left").select(F.col("word").alias("place"), "n", F.coalesce("begun", F.lit(0)).alias("begun"), "stem")
+    known_words = known_words.join(begun, F.col("word") == F.col("before"), "left").select(F.col("word").alias("place"), "n", F.coalesce("begun", F.lit(0)).alias("begun"), "stem", "contexts")
     none = [F.lit(0).cast("long").alias("begun"), F.lit(-1).cast("long").alias("stem")]
-    known_stems = stems.filter(f"contexts >= {LEAST_CONTEXTS}").select(F.col("stem").alias("place"), "n", *none)
+    no_contexts = F.lit(0).cast("long").alias("contexts")
+    known_stems = stems.filter(f"contexts >= {LEAST_CONTEXTS}").select(F.col("stem").alias("place"), "n", *none, "contexts")
     place = F.lit(_PAIRS) + F.shiftrightunsigned("pair", 64 - PAIR_BITS)
-    known_pairs = pairs.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_PAIRS}").select("place", "n", *none)
+    known_pairs = pairs.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_PAIRS}").select("place", "n", *none, no_contexts)
     table = known_words.unionByName(known_stems).unionByName(known_pairs).toArrow()
-    places, toxic, toxic_begun, stem = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "begun", "stem"))
+    places, toxic, toxic_begun, stem, contexts = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "begun", "stem", "contexts"))
     order = np.argsort(places)
-    places, toxic, toxic_begun, stem = (x[order] for x in (places, toxic, toxic_begun, stem))
+    places, toxic, toxic_begun, stem, contexts = (x[order] for x in (places, toxic, toxic_begun, stem, contexts))
     ordinary = F.coalesce(own & (F.col("label") == 0), F.lit(False)).alias("ordinary")
     shared_places = sc.broadcast(places)
     counts = rows.select("text", ordinary).mapInArrow(_corpus_counts(shared_places), "block long, counts binary")
@@ -258,15 +269,18 @@ def fit_model(rows: DataFrame) -> Model:
     shared[is_word] = np.minimum(1.0, both[is_word] / np.maximum(1.0, np.where(places[in_stem] == stem[is_word], both[in_stem], both[is_word])))
     n_toxic, n_ordinary = max(1.0, float(total["n"] or 0)), max(1.0, totals["ordinary"])
     mass = n_toxic + n_ordinary  # the backoff is the same for both classes, so what they don't know weighs nothing
-    return Model(places, toxic.astype(float), by_place["ordinary"], shared, toxic_begun.astype(float), by_place["begun"], n_toxic, n_ordinary, min(1.0, DISCOUNT * max(1, total["types"]) / mass), min(1.0, DISCOUNT * max(1, total["stems"]) / mass))
+    return Model(places, toxic.astype(float), by_place["ordinary"], contexts.astype(float), shared, toxic_begun.astype(float), by_place["begun"], n_toxic, n_ordinary, min(1.0, DISCOUNT * max(1, total["types"]) / mass), min(1.0, DISCOUNT * max(1, total["stems"]) / mass))
 
 
 def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
-    """Model and calibration from ``labelled`` rows; the held-out fold's labels are not looked at."""
+    """Model and calibration from ``labelled`` rows; the held-out fold's labels are not looked at.
+
+    A text that calibrates is scored by the model without the text's own counts. Its pairs count as its own in the
+    contexts that make an expression known, though other texts can have them too."""
     sc = rows.sparkSession.sparkContext
     model = fit_model(rows)
-    seen = rows.filter((F.col("fold") == CALIBRATION) & F.col("label").isNotNull()).select("doc_id", "label", "text")
-    features = _calibration(sc.broadcast(vars(model)))
+    seen = rows.filter((F.col("fold") != HELD_OUT) & F.col("label").isNotNull()).select("doc_id", "label", "text")
+    features = _features(sc.broadcast(vars(model)))
     sample = hash_sample(seen, CALIBRATION_ROWS, lambda some: some.mapInArrow(features, "doc_id long, label int, n long, mean double")).toArrow()
     y = sample.column("label").to_numpy().astype(float)
     x = design(sample.column("n").to_numpy(), sample.column("mean").to_numpy())
@@ -283,7 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     different size. So a rare expression says what its stem does, and nothing if that is rare too. The score is the calibrated difference of the
     log-likelihoods a word; a longer text is surer.
 
-    Counts cover all rows of the classes and all documents. The pairs of toxic texts are a table that grows with them; the
+    Counts cover all rows of the classes but the held-out fold's, and all documents. The pairs of toxic texts are a table that grows with them; the
     model that goes to the workers has a row a hashed place of the toxic class's expressions, so it is bounded at any
     input size (see WORD_BITS): below 120 MB.
 
