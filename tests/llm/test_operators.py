@@ -272,3 +272,36 @@ def test_toxicity_counts_all_folds(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
     assert {r.doc_id: r.mean_ratio for r in toxicity.score_toxicity(docs, labels).collect()}[1000] > 0
+
+
+def alternatives(parsed):
+    """The texts that a parsed expression matches; one digit stands for all of a range."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(arg)]
+            case "IN":
+                more = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg]
+            case "SUBPATTERN":
+                more = alternatives(arg[-1])
+            case "BRANCH":
+                more = [t for branch in arg[1] for t in alternatives(branch)]
+            case "MAX_REPEAT":
+                more = [t * n for n in range(arg[0], arg[1] + 1) for t in alternatives(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gates(spark):
+    """Whatever a rule's expression matches passes the rule's words and the prefilter."""
+    n = 0
+    for label, _, need, pattern in license_scan.rules():
+        for text in alternatives(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and set(need) <= set(text.split()), (label, need, text)
+            assert re.search(license_scan.PREFILTER, text), (label, text)
+            n += 1
+    assert n > len(license_scan.rules())
+    texts = ["under the MIT Licence", "CreativeML Open RAIL-M licence", "Creative Commons Attribution Non Commercial Share Alike", "Creative Commons Attribution Non-Commercial No Derivatives", "MIT No Attribution"]
+    got = [r.labels.split(",") for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [label in found for label, found in zip(["mit", "openrail", "cc-by-nc-sa", "cc-by-nc-nd", "mit-0"], got, strict=True)] == [True] * 5, got

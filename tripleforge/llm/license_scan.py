@@ -23,7 +23,7 @@ apache-2.0 | 76 | apache | apache 2(?: 0)? licen[sc]ed?
 apache-1.1 | 80 | apache | apache (?:software )?licen[sc]e (?:version |v )?1 1
 apache-1.0 | 80 | apache | apache (?:software )?licen[sc]e (?:version |v )?1 0
 apache | 40 | apache | apache (?:software )?licen[sc]e
-mit | 60 | mit license | (?:the )?mit licen[sc]e
+mit | 60 | mit | (?:the )?mit licen[sc]e
 mit | 60 | mit expat | (?:the )?mit expat licen[sc]e
 mit | 70 | permission charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 50 | mit | licensed under (?:the )?(?:terms of the )?mit
@@ -73,10 +73,10 @@ cc-by | 60 | cc by | cc by
 cc0-1.0 | 80 | cc0 | cc0 1 0(?: universal)?
 cc0-1.0 | 70 | cc0 | cc0
 cc0-1.0 | 70 | creative zero | creative commons zero
-cc-by-nc-nd | 62 | creative noderivatives | creative commons attribution non ?commercial no ?derivatives
-cc-by-nc-nd | 62 | creative noncommercial | creative commons attribution non ?commercial no ?deriv(?:ative)?s?
-cc-by-nc-sa | 62 | creative noncommercial | creative commons attribution non ?commercial share ?alike
-cc-by-nc | 60 | creative noncommercial | creative commons attribution non ?commercial
+cc-by-nc-nd | 62 | creative attribution | creative commons attribution non ?commercial no ?derivatives
+cc-by-nc-nd | 62 | creative attribution | creative commons attribution non ?commercial no ?deriv(?:ative)?s?
+cc-by-nc-sa | 62 | creative attribution | creative commons attribution non ?commercial share ?alike
+cc-by-nc | 60 | creative attribution | creative commons attribution non ?commercial
 cc-by-nc | 60 | creative commercial | creative commons attribution non commercial
 cc-by-nd | 60 | creative noderivs | creative commons attribution noderivs
 cc-by-sa | 60 | creative sharealike | creative commons attribution sharealike
@@ -167,15 +167,17 @@ icu | 50 | icu | icu licen[sc]e
 unicode | 50 | unicode | unicode(?: terms of use| licen[sc]e)
 ogl-uk-3.0 | 70 | government | open government license(?: (?:version |v )?3(?: 0)?)?
 llama | 60 | llama | llama (?:2|3|3 1|3 2|3 3|4)? ?community licen[sc]e(?: agreement)?
-openrail | 60 | openrail | (?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail | 60 | openrail | (?:creativeml )?openrail(?: m)?(?: licen[sc]e)?
+openrail | 60 | open rail | (?:creativeml )?open rail(?: m)?(?: licen[sc]e)?
 gemma | 50 | gemma | gemma terms of use
 proprietary | 30 | rights | all rights reserved
 proprietary | 35 | proprietary | proprietary and confidential
 proprietary | 35 | redistribute | you may not (?:copy or )?redistribute
-proprietary | 30 | eula | end user licen[sc]e agreement
+proprietary | 30 | end user agreement | end user licen[sc]e agreement
 copyright | 10 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 generic | 5 | licensed | licensed under
-generic | 5 | license | (?:this|the) licen[sc]e
+generic | 5 | license | (?:this|the) license
+generic | 5 | licence | (?:this|the) licence
 """
 
 #: Identifiers of the public SPDX list; each gives a tag rule and a "licensed under" rule.
@@ -190,7 +192,7 @@ MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0 OFL-1.1 OGL-UK-3.0 OpenSSL OSL
 Ruby SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"""
 
 #: Any text with a rule's place or a base phrase holds one of these.
-PREFILTER = r"licen[sc]|gnu|gpl|gfdl|cc[^a-z]+by|cc0|creative|spdx|copyright|domain|rights|permission|mozilla|mpl|eupl|cddl|cecill|sspl|wtfpl|beerware|redistribut|ofl|osl|odbl|odc|pddl|qpl|perl|bsd|notice|gemma|unicode|rail|proprietary"
+PREFILTER = r"licen[sc]|mit[^a-z]+no|gnu|gpl|gfdl|cc[^a-z]+by|cc0|creative|spdx|copyright|domain|rights|permission|mozilla|mpl|eupl|cddl|cecill|sspl|wtfpl|beerware|redistribut|ofl|osl|odbl|odc|pddl|qpl|perl|bsd|notice|gemma|unicode|rail|proprietary"
 
 
 def rules() -> list[tuple[str, int, list[str], str]]:
