@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -13,199 +15,207 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, hash_sample, load, materialize, small_enough
-from .hashing import U, mix
 
 FOLDS = 5
 HELD_OUT = 0
-#: Largest number of rows that calibrate the score, each by the model without its own counts.
+#: Largest number of rows that calibrate the score, each by the models without its own counts.
 CALIBRATION_ROWS = 20_000
-#: Bits of the places of words, stems and word pairs: the model has at most the sum of these powers of two rows.
-WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 20
+#: Letters of a word's stem, which rare words back off to.
 STEM_CHARS = 4
-DISCOUNT = 0.75
-#: Words and stems that follow fewer different words than this in toxic texts are left to the backoff. Copies of a text
-#: repeat a word after the same word, so they add nothing here.
-LEAST_CONTEXTS = 5
-#: Pairs are used from so many toxic occurrences, after words with so many.
-LEAST_PAIRS, LEAST_BEFORE = 10, 100
-#: Known places of a block of counts; a row of counts has 24 bytes a place.
-COUNT_BLOCK = 4096
+#: What the toxic model takes off the count of a word and of a stem.
+WORD_DISCOUNT, STEM_DISCOUNT = 1.5, 10.0
+#: Words of a run, the stretch of a sentence whose likelihoods are compared, and what is added to its length in the mean.
+RUN_WORDS, RUN_PRIOR = 4, 4
+#: Runs whose differences are features of their own, the largest first.
+TOP_RUNS = 3
+#: Words with counts (28 bytes each) in a broadcast; the most frequent ones, if there are more. The others are joined.
+BROADCAST_WORDS = 4_000_000
 #: Labels (16 bytes a row) up to this number are broadcast.
 BROADCAST_LABELS = 1_000_000
 
-_TOKEN = re.compile(r"\w+")
-_STEMS, _PAIRS, _PLACES = 1 << 21, 1 << 22, 1 << 23
+_BREAKS = ".!?\n"
+_TOKEN = re.compile(rf"\w+|[{_BREAKS}]")
+_COUNTS = ["toxic", "ordinary", "stem_toxic", "stem_ordinary", "stem_types"]
 
 
-def _place(h: np.ndarray, base: int, bits: int) -> np.ndarray:
-    return base + (h >> U(64 - bits)).astype(np.int64)
-
-
-def _times(among: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """How often each of ``of`` is ``among`` others; all of them are."""
-    values, n = np.unique(among, return_counts=True)
-    return n[np.searchsorted(values, of)]
-
-
-def expressions(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each word, of its stem (its first letters), and the hash of the pair that it ends; the first word follows 0."""
-    tokens = _TOKEN.findall(text.lower())
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, len(tokens))
-    stem = np.fromiter(map(xxhash.xxh3_64_intdigest, [t[:STEM_CHARS] for t in tokens]), U, len(tokens))
-    pair = mix(np.concatenate(([U(0)], word[:-1])) * U(0x9E3779B97F4A7C15) + word) if len(word) else word
-    return _place(word, 0, WORD_BITS), _place(mix(stem), _STEMS, STEM_BITS), pair
+@dataclass
+class Classes:
+    """What the counts of single words are set against: a few numbers."""
+
+    n_toxic: float = 0.0  # words of the class
+    n_ordinary: float = 0.0
+    types: float = 0.0  # different words and stems of both
+    stems: float = 0.0
+    word_discounts: tuple[float, float] = (0.0, 0.0)  # toxic, ordinary
+    stem_discounts: tuple[float, float] = (0.0, 0.0)
+    word_mass: float = 1.0  # what the discounts leave to the backoff, the same in both classes
+    stem_mass: float = 1.0
+
+    def ratios(self, known: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None, label: int | None = None, length: int = 0) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) by the rows of ``counts`` (_COUNTS). ``own``, counts of words and stems in a text
+        of ``label`` with ``length`` words, is taken out first."""
+        if not (self.n_toxic and self.n_ordinary):
+            return np.zeros(len(counts))
+        shared = (counts[:, 4] + 1) / (self.types + self.stems + 1)
+        share = (known + 0.5) / (counts[:, 4] + 1)
+        logs = []
+        for c, total in ((0, self.n_toxic), (1, self.n_ordinary)):
+            word, stem = counts[:, c], counts[:, 2 + c]
+            if own is not None and label == 1 - c:
+                word, stem, total = word - own[:, 0], stem - own[:, 1], max(1.0, total - length)
+            by_stem = np.maximum(stem - self.stem_discounts[c], 0) / total + self.stem_mass * shared
+            logs.append(np.log(np.maximum(word - self.word_discounts[c], 0) / total + self.word_mass * by_stem * share))
+        return logs[0] - logs[1]
 
 
 @dataclass
-class Model:
-    """Counts by place, for the expressions of the toxic class."""
-
-    places: np.ndarray  # sorted
-    toxic: np.ndarray  # occurrences
-    ordinary: np.ndarray
-    contexts: np.ndarray  # words and stems: different pairs of toxic texts that they end
-    shared: np.ndarray  # words: share of their stem in both classes; stems: share in all documents
-    toxic_begun: np.ndarray  # words: pairs that they begin
-    ordinary_begun: np.ndarray
-    n_toxic: float  # words of the class
-    n_ordinary: float
-    word_back: float  # mass that goes from words to stems, and from stems to the shared counts
-    stem_back: float
-
-    def lookup(self) -> np.ndarray:
-        """Row of each place, -1 where the toxic model has none."""
-        out = np.full(_PLACES, -1, np.int32)
-        out[self.places] = np.arange(len(self.places), dtype=np.int32)
-        return out
-
-    def ratios(self, lookup: np.ndarray, word: np.ndarray, stem: np.ndarray, pair: np.ndarray, label: int | None = None) -> np.ndarray:
-        """log p(word | word before, toxic) - log p(word | word before, ordinary) of each word. With its label, a text that was
-        counted is taken out of the counts first."""
-        if not len(self.places) or not len(word):
-            return np.zeros(len(word))
-        w, s, b = lookup[word], lookup[stem], lookup[_place(pair, _PAIRS, PAIR_BITS)]
-        before = np.concatenate(([-1], w[:-1]))
-        at = lambda a, k: np.where(k >= 0, a[k], 0.0)
-        toxic, ordinary = ([at(a, k) for k in (w, s, b)] for a in (self.toxic, self.ordinary))
-        begun_toxic, begun_ordinary = at(self.toxic_begun, before), at(self.ordinary_begun, before)
-        n_toxic, n_ordinary, share = self.n_toxic, self.n_ordinary, at(self.shared, w)
-        if label is not None:
-            first = np.unique(pair, return_index=True)[1]
-            mine = [_times(k, k) for k in (w, s, b)]
-            if label:
-                toxic, begun_toxic, n_toxic = [np.maximum(c - m, 0) for c, m in zip(toxic, mine, strict=True)], begun_toxic - _times(before, before), max(1.0, n_toxic - len(word))
-            else:
-                ordinary, begun_ordinary, n_ordinary = [np.maximum(c - m, 0) for c, m in zip(ordinary, mine, strict=True)], begun_ordinary - _times(before, before), max(1.0, n_ordinary - len(word))
-            share = np.minimum(1.0, (toxic[0] + ordinary[0]) / np.maximum(1.0, toxic[1] + ordinary[1]))
-            if label:  # what only this text made known isn't
-                w, s = (np.where(at(self.contexts, k) - _times(k[first], k) >= LEAST_CONTEXTS, k, -1) for k in (w, s))
-                b = np.where(toxic[2] >= LEAST_PAIRS, b, -1)
-        lower = lambda n, total: np.maximum(n - DISCOUNT, 0) / total
-        shared = np.where(s >= 0, at(self.shared, s), 1.0)  # a stem that isn't the toxic class's own says nothing
-        stem_toxic = np.where(s >= 0, lower(toxic[1], n_toxic) + self.stem_back * shared, 1.0)
-        stem_ordinary = np.where(s >= 0, lower(ordinary[1], n_ordinary) + self.stem_back * shared, 1.0)
-        own = (w >= 0) & (s >= 0)
-        word_toxic = np.where(own, lower(toxic[0], n_toxic) + self.word_back * stem_toxic * share, stem_toxic)
-        word_ordinary = np.where(own, lower(ordinary[0], n_ordinary) + self.word_back * stem_ordinary * share, stem_ordinary)
-        use = (b >= 0) & own & (begun_toxic >= LEAST_BEFORE) & (begun_ordinary >= LEAST_BEFORE)
-        begun_toxic, begun_ordinary = np.maximum(begun_toxic, 1.0), np.maximum(begun_ordinary, 1.0)
-        pair_toxic = np.where(use, np.maximum(toxic[2] - DISCOUNT, 0) / begun_toxic + DISCOUNT * word_toxic, word_toxic)
-        pair_ordinary = np.where(use, np.maximum(ordinary[2] - DISCOUNT, 0) / begun_ordinary + DISCOUNT * word_ordinary, word_ordinary)
-        return np.log(pair_toxic / pair_ordinary)
-
-
-def _toxic_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, word, stem, before, n) of toxic texts, combined within a batch."""
+class Table:
+    """Counts by hash, sorted: of words with their stems, and of stems for the words that no text of a class has."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    stems: np.ndarray
+    stem_counts: np.ndarray
+    whole: bool  # whether these are all words
+
+    @staticmethod
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+    def lookup(self, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, counts): a word that isn't known has its stem's counts only."""
+        at, known = self.find(self.words, word)
+        counts = np.zeros((len(word), 5))
+        counts[known] = self.word_counts[at[known]]
+        at, there = self.find(self.stems, stem)
+        there &= ~known
+        counts[there, 2:] = self.stem_counts[at[there]]
+        return known, counts
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64)
+
+
+class Batch:
+    """Texts as numbers of their different words; sentence ends have the first numbers."""
+
+    def __init__(self, texts: list[str | None]):
+        number = defaultdict(count().__next__)
+        for b in _BREAKS:
+            number[b]
+        self.tokens = []
+        for text in texts:
+            found = _TOKEN.findall((text or "").lower())
+            self.tokens.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        words = list(number)[len(_BREAKS) :]
+        stem = defaultdict(count().__next__)
+        self.stem_of = np.fromiter((stem[w[:STEM_CHARS]] for w in words), np.int64, len(words))
+        self.words, self.stems = _hashes(words), _hashes(list(stem))
+
+    def sentences(self, text: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, starts of the runs): a run ends after RUN_WORDS words, and where its sentence ends."""
+        tokens = self.tokens[text]
+        is_word = tokens >= len(_BREAKS)
+        place = np.arange(len(tokens))
+        last = np.maximum.accumulate(np.where(is_word, -1, place)) if len(tokens) else place
+        within = (place - last - 1)[is_word]
+        return tokens[is_word] - len(_BREAKS), np.flatnonzero(within % RUN_WORDS == 0)
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, stem, toxic, ordinary) of labelled texts, combined within a batch."""
     for batch in batches:
-        found = [expressions(t or "") for t in batch.column("text").to_pylist()]
-        found = [(word, stem, pair, np.concatenate(([-1], word[:-1]))) for word, stem, pair in found if len(word)]
-        if found:
-            word, stem, pair, before = (np.concatenate(x) for x in zip(*found, strict=True))
-            keys, first, n = np.unique(pair, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), word[first], stem[first], before[first], n.astype(np.int64))], ["pair", "word", "stem", "before", "n"])
-
-
-def _corpus_counts(shared_places):
-    """(block, counts) of the toxic class's expressions, over all texts of a task: its count vectors, cut into blocks of
-    COUNT_BLOCK known places, each with the counts ordinary, begun and documents side by side. Blocks without a count are
-    left out; block -1 has the totals."""
-
+        read = Batch(batch.column("text").to_pylist())
+        counts = np.zeros((2, len(read.words)), np.int64)
+        for k, label in enumerate(batch.column("label").to_pylist()):
+            counts[1 - label] += np.bincount(read.sentences(k)[0], minlength=len(read.words))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (read.words, read.stems[read.stem_of], *counts)], ["word", "stem", "toxic", "ordinary"])
+
+
+def _run_features(ratio: np.ndarray, starts: np.ndarray) -> list[float]:
+    """TOP_RUNS largest means of a run, mean of all, log of the number of runs."""
+    if not len(ratio):
+        return [0.0] * (TOP_RUNS + 2)
+    length = np.diff(starts, append=len(ratio))
+    runs = np.sort(np.add.reduceat(ratio, starts) / (length + RUN_PRIOR))[::-1][:TOP_RUNS]
+    return [*runs.tolist(), *[0.0] * (TOP_RUNS - len(runs)), float(ratio.sum() / (len(ratio) + RUN_PRIOR)), float(np.log1p(len(starts)))]
+
+
+def _batch_features(batch: pa.RecordBatch, classes: Classes, table: Table) -> tuple[list[int], np.ndarray]:
+    """Numbers of words, and the features of each text. A batch with labels has its texts taken out of the counts; one with the columns
+    of ``_joined`` has counts of words that the table lacks."""
+    read = Batch(batch.column("text").to_pylist())
+    known, counts = table.lookup(read.words, read.stems[read.stem_of])
+    labels = batch.column("label").to_pylist() if "label" in batch.schema.names else None
+    more = batch.column("found") if "found" in batch.schema.names else None
+    ratio = classes.ratios(known, counts)
+    lengths, features = [], []
+    for k in range(batch.num_rows):
+        words, starts = read.sentences(k)
+        if len(words) and (labels or more):
+            mine, inverse, times = np.unique(words, return_inverse=True, return_counts=True)
+            there, rows = known[mine], counts[mine]
+            if more and more[k].is_valid:
+                found = more[k].values
+                at, extra = Table.find(found.field("word").to_numpy(), read.words[mine])
+                extra &= ~there
+                for c, name in enumerate(_COUNTS):
+                    rows[extra, c] = found.field(name).to_numpy()[at[extra]]
+                there = there | (extra & (found.field("known").to_numpy(zero_copy_only=False)[at] if len(found) else False))
+            own = None
+            if labels:
+                stem = read.stem_of[mine]
+                own = np.column_stack([times, np.bincount(stem, times)[stem]])
+            each = classes.ratios(there, rows, own, labels and labels[k], len(words))[inverse]
+        else:
+            each = ratio[words]
+        lengths.append(len(words))
+        features.append(_run_features(each, starts))
+    return lengths, np.array(features).reshape(-1, TOP_RUNS + 2)
+
+
+def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = shared_places.value
-        lookup = np.full(_PLACES, -1, np.int32)
-        lookup[places] = np.arange(len(places), dtype=np.int32)
-        counts = np.zeros((3, len(places)), np.int64)
-        ordinary, begun, documents = counts
-        n_ordinary = n_stems = 0
         for batch in batches:
-            for text, is_ordinary in zip(batch.column("text").to_pylist(), batch.column("ordinary").to_pylist(), strict=True):
-                word, stem, pair = expressions(text or "")
-                if not len(word):
-                    continue
-                stems = np.unique(stem)
-                n_stems += len(stems)
-                at = lookup[stems]
-                documents[at[at >= 0]] += 1
-                if is_ordinary:
-                    n_ordinary += len(word)
-                    at = lookup[np.concatenate((word, stem, _place(pair, _PAIRS, PAIR_BITS)))]
-                    ordinary += np.bincount(at[at >= 0], minlength=len(places))
-                    at = lookup[word[:-1]]
-                    begun += np.bincount(at[at >= 0], minlength=len(places))
-        block, packed = [-1], [np.array([n_ordinary, 0, n_stems], np.int64).tobytes()]
-        for k, start in enumerate(range(0, len(places), COUNT_BLOCK)):
-            part = counts[:, start : start + COUNT_BLOCK]
-            if part.any():
-                block.append(k)
-                packed.append(part.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
+            n, x = _batch_features(batch, *shared.value)
+            columns = {c: batch.column(c) for c in batch.schema.names if c in ("doc_id", "label")} | {"n": pa.array(n, pa.int64())}
+            columns |= {f"x{k}": pa.array(x[:, k]) for k in range(x.shape[1])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def _sum_counts(shared_places):
-    """(place, ordinary, begun, documents) summed over the tasks that counted; place -1 has the totals. A batch at a time is
-    held, and one sum a block of the partition."""
+def _kept(shared, beta: np.ndarray, column: str):
+    """The rows that aren't predicted to be toxic, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, sums = shared_places.value, {}
         for batch in batches:
-            for k, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(packed, np.int64).reshape(3, -1)
-                sums[k] = sums[k] + part if k in sums else part
-        for k, total in sums.items():
-            place = places[k * COUNT_BLOCK : (k + 1) * COUNT_BLOCK] if k >= 0 else np.array([-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (place, *total)], ["place", "ordinary", "begun", "documents"])
+            texts = pa.RecordBatch.from_arrays([batch.column(column)], ["text"])
+            x = _batch_features(texts, *shared.value)[1]
+            yield batch.filter(pa.array(beta[0] + x @ beta[1:] < 0))
 
     return run
 
 
-def _features(shared_model):
-    """(doc_id, n, mean): words, and the difference of the length-normalised log-likelihoods."""
+def _missing(shared):
+    """(d1, d2, word, stem) of the different words of a text that the table lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(**shared_model.value)
-        lookup = model.lookup()
+        table = shared.value[1]
         for batch in batches:
-            counted = "label" in batch.schema.names
-            labels = batch.column("label").to_pylist() if counted else [None] * batch.num_rows
-            n, mean = [], []
-            for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
-                ratio = model.ratios(lookup, *expressions(text or ""), label)
-                n.append(len(ratio))
-                mean.append(float(ratio.mean()) if len(ratio) else 0.0)
-            columns = {"doc_id": batch.column("doc_id")} | ({"label": batch.column("label")} if counted else {}) | {"n": pa.array(n, pa.int64()), "mean": pa.array(mean, pa.float64())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            read = Batch(batch.column("text").to_pylist())
+            lacks = ~table.find(table.words, read.words)[1]
+            words = [np.unique(read.sentences(k)[0]) for k in range(batch.num_rows)]
+            words = [w[lacks[w]] for w in words]
+            all_words, times = np.concatenate([*words, np.empty(0, np.int64)]), [len(w) for w in words]
+            keys = [np.repeat(batch.column(c).to_numpy(), times) for c in ("d1", "d2")]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (*keys, read.words[all_words], read.stems[read.stem_of[all_words]])], ["d1", "d2", "word", "stem"])
 
     return run
 
 
-def design(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Features of the calibration: the normalised difference, weighed by length, and the length."""
-    n = np.asarray(n, float)
-    return np.column_stack([np.ones_like(n), mean * np.sqrt(n), mean * n / 10, np.log1p(n)])
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     """Newton's method for a ridge logistic regression; the first column is the intercept."""
     beta, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
@@ -228,97 +238,143 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "label", fold(F.col("doc_id"), folds).alias("fold"))
 
 
+def mass_of(counts: np.ndarray, n: np.ndarray, discount: float) -> float:
+    """Share of the occurrences that a discount takes, where ``n`` expressions have each of ``counts``."""
+    return float((np.minimum(counts, discount) * n).sum() / (counts * n).sum())
+
+
+def discount_of(counts: np.ndarray, n: np.ndarray, mass: float) -> float:
+    """The discount that takes a share of ``mass``."""
+    low, high = 0.0, float(counts.max())
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mass_of(counts, n, middle) < mass else (low, middle)
+    return low
+
+
+@dataclass
+class Model:
+    classes: Classes
+    table: Table
+    words: DataFrame  # all counts, in the shared folder
+    stems: DataFrame
+
+
+def _by_count(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows have each count above 0: at most the root of twice the corpus's words."""
+    found = table.filter(F.col(column) > 0).groupBy(F.col(column).alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return found.column("c").to_numpy().astype(float), found.column("n").to_numpy().astype(float)
+
+
 def fit_model(rows: DataFrame) -> Model:
-    """Two passes: the pairs of toxic texts say which expressions the toxic model knows; then these are counted in all texts.
-
-    The pairs stay in a table that grows with the input; what comes to the driver has a row a hashed place of a
-    known expression."""
-    sc = rows.sparkSession.sparkContext
-    own = F.col("fold") != HELD_OUT
-    found = rows.filter(own & (F.col("label") == 1)).select("text").mapInArrow(_toxic_pairs, "pair long, word long, stem long, before long, n long")
-    pairs = materialize(found.groupBy("pair", "word", "stem", "before").agg(F.sum("n").alias("n")))
-    counts = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")]
-    words, stems = pairs.groupBy("word", "stem").agg(*counts), pairs.groupBy("stem").agg(*counts)
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_distinct("stem").alias("stems")).first()
-    begun = pairs.filter("before >= 0").groupBy("before").agg(F.sum("n").alias("begun")).filter(f"begun >= {LEAST_BEFORE}")
-    known_words = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"), F.max_by("stem", "n").alias("stem")).filter(f"contexts >= {LEAST_CONTEXTS}")
-    known_words = known_words.join(begun, F.col("word") == F.col("before"), "left").select(F.col("word").alias("place"), "n", F.coalesce("begun", F.lit(0)).alias("begun"), "stem", "contexts")
-    none = [F.lit(0).cast("long").alias("begun"), F.lit(-1).cast("long").alias("stem")]
-    no_contexts = F.lit(0).cast("long").alias("contexts")
-    known_stems = stems.filter(f"contexts >= {LEAST_CONTEXTS}").select(F.col("stem").alias("place"), "n", *none, "contexts")
-    place = F.lit(_PAIRS) + F.shiftrightunsigned("pair", 64 - PAIR_BITS)
-    known_pairs = pairs.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_PAIRS}").select("place", "n", *none, no_contexts)
-    table = known_words.unionByName(known_stems).unionByName(known_pairs).toArrow()
-    places, toxic, toxic_begun, stem, contexts = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "begun", "stem", "contexts"))
-    order = np.argsort(places)
-    places, toxic, toxic_begun, stem, contexts = (x[order] for x in (places, toxic, toxic_begun, stem, contexts))
-    ordinary = F.coalesce(own & (F.col("label") == 0), F.lit(False)).alias("ordinary")
-    shared_places = sc.broadcast(places)
-    counts = rows.select("text", ordinary).mapInArrow(_corpus_counts(shared_places), "block long, counts binary")
-    others = counts.repartition("block").mapInArrow(_sum_counts(shared_places), "place long, ordinary long, begun long, documents long").toArrow()
-    found = {c: others.column(c).to_numpy() for c in others.column_names}
-    totals = {c: float(found[c][found["place"] < 0].sum()) for c in ("ordinary", "documents")}
-    at = np.searchsorted(places, found["place"][found["place"] >= 0])
-    by_place = {c: np.zeros(len(places)) for c in ("ordinary", "begun", "documents")}
-    for c, values in by_place.items():
-        values[at] = found[c][found["place"] >= 0]
-    shared = by_place["documents"] / max(1.0, totals["documents"])
-    is_word = stem >= 0
-    in_stem = np.minimum(np.searchsorted(places, stem[is_word]), max(0, len(places) - 1))
-    both = toxic + by_place["ordinary"]
-    shared[is_word] = np.minimum(1.0, both[is_word] / np.maximum(1.0, np.where(places[in_stem] == stem[is_word], both[in_stem], both[is_word])))
-    n_toxic, n_ordinary = max(1.0, float(total["n"] or 0)), max(1.0, totals["ordinary"])
-    mass = n_toxic + n_ordinary  # the backoff is the same for both classes, so what they don't know weighs nothing
-    return Model(places, toxic.astype(float), by_place["ordinary"], contexts.astype(float), shared, toxic_begun.astype(float), by_place["begun"], n_toxic, n_ordinary, min(1.0, DISCOUNT * max(1, total["types"]) / mass), min(1.0, DISCOUNT * max(1, total["stems"]) / mass))
-
-
-def fit(rows: DataFrame) -> tuple[Model, np.ndarray]:
-    """Model and calibration from ``labelled`` rows; the held-out fold's labels are not looked at.
-
-    A text that calibrates is scored by the model without the text's own counts. Its pairs count as its own in the
-    contexts that make an expression known, though other texts can have them too."""
-    sc = rows.sparkSession.sparkContext
+    """Counts of every word and stem of both classes, over all rows with a label but the held-out fold's."""
+    own = rows.filter((F.col("fold") != HELD_OUT) & F.col("label").isin(0, 1)).select("text", "label")
+    found = own.mapInArrow(_class_counts, "word long, stem long, toxic long, ordinary long")
+    words = materialize(found.groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    stems = materialize(words.groupBy("stem").agg(F.sum("toxic").alias("stem_toxic"), F.sum("ordinary").alias("stem_ordinary"), F.count(F.lit(1)).alias("stem_types")))
+    total = stems.agg(F.sum("stem_toxic").alias("toxic"), F.sum("stem_ordinary").alias("ordinary"), F.sum("stem_types").alias("types"), F.count(F.lit(1)).alias("stems")).first()
+    n_toxic, n_ordinary, types, n_stems = (float(total[c] or 0) for c in ("toxic", "ordinary", "types", "stems"))
+    classes = Classes(n_toxic, n_ordinary, types, n_stems)
+    if n_toxic and n_ordinary:
+        for level, table, columns, discount in (("word", words, ("toxic", "ordinary"), WORD_DISCOUNT), ("stem", stems, ("stem_toxic", "stem_ordinary"), STEM_DISCOUNT)):
+            mass = mass_of(*(toxic := _by_count(table, columns[0])), discount)
+            discounts = (discount_of(*toxic, mass), discount_of(*_by_count(table, columns[1]), mass))
+            setattr(classes, f"{level}_mass", mass)
+            setattr(classes, f"{level}_discounts", discounts)
+    whole = types <= BROADCAST_WORDS
+    head = words
+    if not whole:  # the words that occur most, as many as fit
+        often, n = _by_count(words.select((F.col("toxic") + F.col("ordinary")).alias("both")), "both")
+        order = np.argsort(-often)
+        fits = np.flatnonzero(np.cumsum(n[order]) <= BROADCAST_WORDS)
+        head = words.filter(F.col("toxic") + F.col("ordinary") >= (float(often[order][fits[-1]]) if len(fits) else float("inf")))
+    head = head.join(stems, "stem").select("word", *[F.col(c).cast("float") for c in _COUNTS]).toArrow()
+    tail = stems.select("stem", *[F.col(c).cast("float") for c in _COUNTS[2:]]).filter(F.lit(whole)).toArrow()
+    arrays = []
+    for key, columns, part in (("word", _COUNTS, head), ("stem", _COUNTS[2:], tail)):
+        keys = part.column(key).to_numpy()
+        order = np.argsort(keys)
+        arrays += [keys[order], np.column_stack([part.column(c).to_numpy() for c in columns]).astype(np.float32).reshape(-1, len(columns))[order]]
+    return Model(classes, Table(*arrays, whole), words, stems)
+
+
+def _joined(rows: DataFrame, model: Model, shared) -> DataFrame:
+    """``rows`` with the counts of the words that the broadcast lacks, as array ``found`` (null: none). Each different text
+    is looked up once, by two hashes."""
+    keyed = rows.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(7), "text")})
+    lacks = keyed.select("d1", "d2", "text").dropDuplicates(["d1", "d2"]).mapInArrow(_missing(shared), "d1 long, d2 long, word long, stem long")
+    counted = model.words.drop("stem").withColumn("known", F.lit(True))
+    found = lacks.join(counted, "word", "left").join(model.stems, "stem", "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in _COUNTS]
+    entry = F.struct("word", F.coalesce("known", F.lit(False)).alias("known"), *numbers)
+    by_text = found.groupBy(F.col("d1").alias("t1"), F.col("d2").alias("t2")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    return keyed.join(by_text, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")), "left").drop("d1", "d2", "t1", "t2")
+
+
+_SCHEMA = "n long, " + ", ".join(f"x{k} double" for k in range(TOP_RUNS + 2))
+
+
+def _featured(rows: DataFrame, model: Model, shared) -> DataFrame:
+    """(doc_id, label if ``rows`` has it, n, x0, x1, ...) of rows (doc_id, text, label)."""
+    schema = "doc_id long, " + ("label int, " if "label" in rows.columns else "") + _SCHEMA
+    return (rows if model.table.whole else _joined(rows, model, shared)).mapInArrow(_features(shared), schema)
+
+
+def fit(rows: DataFrame) -> tuple[Model, object, np.ndarray]:
+    """Models, their broadcast and the calibration, from ``labelled`` rows; the held-out fold's labels are not looked at."""
     model = fit_model(rows)
-    seen = rows.filter((F.col("fold") != HELD_OUT) & F.col("label").isNotNull()).select("doc_id", "label", "text")
-    features = _features(sc.broadcast(vars(model)))
-    sample = hash_sample(seen, CALIBRATION_ROWS, lambda some: some.mapInArrow(features, "doc_id long, label int, n long, mean double")).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((model.classes, model.table))
+    seen = rows.filter((F.col("fold") != HELD_OUT) & F.col("label").isin(0, 1)).select("doc_id", "label", "text")
+    sample = hash_sample(seen, CALIBRATION_ROWS, lambda some: _featured(some, model, shared)).toArrow()
     y = sample.column("label").to_numpy().astype(float)
-    x = design(sample.column("n").to_numpy(), sample.column("mean").to_numpy())
-    return model, fit_logistic(x, y) if len(y) else np.array([-3.0, 1.0, 1.0, 0.0])
+    x = np.column_stack([np.ones(len(y)), *(sample.column(f"x{k}").to_numpy() for k in range(TOP_RUNS + 2))])
+    return model, shared, fit_logistic(x, y) if len(y) else np.array([-3.0, *[0.0] * (TOP_RUNS + 2)])
+
+
+def _scored(rows: DataFrame, model: Model, shared, beta: np.ndarray) -> DataFrame:
+    found = _featured(rows.select("doc_id", "text"), model, shared)
+    z = sum((F.lit(float(b)) * F.col(f"x{k}") for k, b in enumerate(beta[1:])), F.lit(float(beta[0])))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
+    return found.withColumn("score", score)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score every whole text: (doc_id, held_out, score, predicted, n_words, mean_ratio).
-
-    Two interpolated Kneser-Ney models give p(word | word before) in toxic and in ordinary texts. Both discount their
-    counts and back off from pairs to words, to stems and to shared counts: a word's share of its stem in both classes, a
-    stem's in all documents. Continuation counts (after how many different words something stands in toxic texts) say which
-    words and stems have counts of their own; as probabilities they would differ between classes of
-    different size. So a rare expression says what its stem does, and nothing if that is rare too. The score is the calibrated difference of the
-    log-likelihoods a word; a longer text is surer.
-
-    Counts cover all rows of the classes but the held-out fold's, and all documents. The pairs of toxic texts are a table that grows with them; the
-    model that goes to the workers has a row a hashed place of the toxic class's expressions, so it is bounded at any
-    input size (see WORD_BITS): below 120 MB.
-
-    Nulls: null and empty texts score as having no word; a null id is carried along, belongs to the fold of the empty
-    text and has no label; repeated rows score alike; a doc_id with contradictory labels has none. Without toxic labels, scores
-    are those of no evidence. Language, source and id are no inputs. Other columns are not looked at.
+    """Score every whole text: (doc_id, held_out, score, predicted, n_words, top_ratio, mean_ratio).
+
+    Two interpolated Kneser-Ney models give p(word | class) in toxic and in ordinary texts. Counts of a word in a class are
+    discounted, and what the discounts take goes to the word's stem (its first letters), whose counts in the class are discounted in turn; what
+    these leave goes to continuation counts that both classes share: how many different words a stem begins, and a word's
+    share in them. So a rare expression says what others of its stem say, and an unknown one nothing. The smaller class is
+    discounted by fixed numbers; the other by those that leave the same mass to the backoff, so that words which are rare in both don't
+    speak for the smaller class. The models know every word of all labelled rows outside the held-out fold: there are no least counts, and
+    the tables grow with the input.
+
+    Sentences are cut into runs of RUN_WORDS words, and the log-likelihoods of each run are compared, normalised by its length; one
+    toxic line isn't drowned by a long text. The score is calibrated on the largest differences of runs, the mean over the text
+    and the number of runs, by logistic regression on at most CALIBRATION_ROWS labelled rows, each without its own counts.
+
+    Up to BROADCAST_WORDS words the models go to the workers whole. Beyond, the most frequent ones do, and the other words of each
+    different text are joined with their counts: the same scores, at the cost of a shuffle.
+
+    Words are compared by 64-bit hashes. Nulls: null and empty texts score as having no word; a null id is carried along, belongs to the
+    fold of the empty text and has no label; repeated rows score alike; a doc_id with contradictory labels has none, nor one with a
+    label other than 0 and 1. Without labels of both kinds, all texts of a length score alike. Language, source and id are no inputs.
+    Other columns are not looked at.
     """
     rows = labelled(docs, labels, "toxic", FOLDS)
-    model, beta = fit(rows)
-    found = rows.select("doc_id", "text").mapInArrow(_features(rows.sparkSession.sparkContext.broadcast(vars(model))), "doc_id long, n long, mean double")
-    terms = [F.lit(1.0), F.col("mean") * F.sqrt("n"), F.col("mean") * F.col("n") / 10, F.log1p("n")]
-    z = sum((F.lit(float(b)) * t for b, t in zip(beta[1:], terms[1:], strict=True)), F.lit(float(beta[0])))
-    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
-    scored = found.withColumn("score", score)
-    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("n").alias("n_words"), F.col("mean").alias("mean_ratio"))
+    scored = _scored(rows, *fit(rows))
+    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("n").alias("n_words"), F.col("x0").alias("top_ratio"), F.col(f"x{TOP_RUNS}").alias("mean_ratio"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, all columns."""
-    toxic = score_toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose text isn't predicted to be toxic, all columns; each row goes by its own text, with or without an id."""
+    rows = labelled(docs, labels, "toxic", FOLDS)
+    model, shared, beta = fit(rows)
+    if model.table.whole:
+        return docs.mapInArrow(_kept(shared, beta, "text"), docs.schema)
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id", "text"])
+    toxic = _scored(texts, model, shared, beta).filter("score >= 0.5").select(F.col("doc_id").alias("toxic_text")).distinct()
+    return docs.join(toxic, F.xxhash64("text") == F.col("toxic_text"), "left_anti")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
