@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tripleforge.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, quality, substring_dedup, toxicity, url_filter
+from tripleforge.llm import components, decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, quality, substring_dedup, toxicity, url_filter
 from tripleforge.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -91,7 +91,32 @@ def test_ngram_join_odd(odd, empty):
     assert by[5][1] == by[6][1] == 5
     assert all(g[2] is None for g in got if g[0] is None)
     assert ngram_join.ngram_join(empty).count() == 0
-    assert sorted(r.doc_id for r in ngram_join.without_near_copies(odd).collect() if r.doc_id) == [1, 2, 3, 4, 4, 5, 8]
+    assert sorted(r.doc_id for r in ngram_join.without_near_copies(odd).collect() if r.doc_id) == [1, 2, 3, 4, 5, 8]
+
+
+def test_rows_of_shared_ids(spark):
+    """Texts of their own stay without an id, or with another text's id; near copies and leaks go, whatever their ids."""
+    base = [f"w{k}" for k in range(40)]
+    near, other, leak = " ".join(base), " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    rows = [(1, near, "a"), (4, near + " end", "b"), (4, other, "c"), (None, "unique words stand here alone", "d"), (5, "c c c c c c", "e"), (5, "d d d d d d", "f"), (None, near, "g"), (None, leak, "h"), (7, leak, "i"), (7, "left alone by all of them", "j"), (None, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = ngram_join.without_near_copies(docs)
+    assert kept.columns == docs.columns and "".join(sorted(r["row"] for r in kept.collect())) == "acdefijk"
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_links) for r in ngram_join.ngram_join(docs).collect())
+    assert got == [(0, 0, 0)] * 4 + [(1, 1, 1), (4, 1, 1), (4, 4, 0), (5, 5, 0), (5, 5, 0), (7, 7, 0), (7, 7, 0)]
+    items = spark.createDataFrame([(1, " ".join(f"y{k}" for k in range(5, 30)))], "item_id long, text string")
+    clean = decontamination.without_contaminated(docs, items)
+    assert clean.columns == docs.columns and "".join(sorted(r["row"] for r in clean.collect())) == "abcdefgjk"
+
+
+def test_components_hubs(spark, monkeypatch):
+    """Hubs meet their smallest neighbour in a broadcast; the components are the same."""
+    monkeypatch.setattr(components, "HUB_LEAST", 3)
+    edges = [(5, k) for k in range(100, 160)] + [(k, k + 1) for k in range(200, 230)] + [(215, 1), (159, 300)]
+    want = {}
+    for part in ([5, *range(100, 160), 300], [1, *range(200, 231)]):
+        want |= {k: min(part) for k in part}
+    assert {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
 def test_components(spark):

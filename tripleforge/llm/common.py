@@ -45,6 +45,16 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def own_ids(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own."""
+    return docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(number, doc_id, text, row): the rows of ``docs`` with numbers that are written down, so they stay the same."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", F.struct(*docs.columns).alias("row")))
+
+
 def hash_sample(rows: DataFrame, size: int, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``features`` of at most ``size`` rows, those with the smallest hashes of their doc_id (which ``features`` keeps).
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, load, lower_ascii, materialize, small_enough
+from .common import BLANKS, load, lower_ascii, materialize, numbered, own_ids, small_enough
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -90,6 +90,15 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE_WORDS, cont
     return best.withColumn("containment", F.col("n_hits") / F.col("n_item")).filter(F.col("n_hits") * 100 >= F.col("n_item") * round(containment * 100))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns; each row goes by its own text, also where ids are shared or null."""
+    if own_ids(docs):
+        return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    each = numbered(docs)
+    found = contaminated(each.select(F.col("number").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("number")).distinct()
+    return each.join(found, "number", "left_anti").select("row.*")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 

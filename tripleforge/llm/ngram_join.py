@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, small_enough
+from .common import load, materialize, numbered, own_ids, small_enough
 from .components import connected_components
 from .hashing import U, byte_texts, mix, shingle_set, split_words, word_hashes
 
@@ -192,15 +192,17 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
     Words are lower-cased (A-Z) runs of other than blanks; a text with fewer words than ``n`` is one n-gram. Null and
     empty texts have no n-gram, no link, and are their own component. A null id has a null component and
-    links with nothing. Rows that share an id are one node, with the smallest of their texts. An empty table gives an empty result.
-    Other columns are not looked at.
+    links with nothing. Rows that share an id are judged each by its own text; each counts as a link of the others where texts are
+    similar. An empty table gives an empty result. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        single = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(rows.filter("doc_id IS NULL"))
-        nodes = _join_unique(single, n, percent)
-        again = rows.filter("doc_id IS NOT NULL").select("doc_id").join(nodes, "doc_id")
-        return again.unionByName(nodes.filter("doc_id IS NULL"))
+        each = numbered(rows)
+        nodes = materialize(_join_unique(each.select(F.when(F.col("doc_id").isNotNull(), F.col("number")).alias("doc_id"), "text"), n, percent))
+        named = nodes.withColumnRenamed("doc_id", "number").join(each.select("number", "doc_id"), "number")
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("smallest"))
+        named = named.join(least, "component_id").select("doc_id", "n_shingles", F.col("smallest").alias("component_id"), "n_links")
+        return named.unionByName(nodes.filter("doc_id IS NULL"))
     return _join_unique(rows, n, percent)
 
 
@@ -249,9 +251,17 @@ def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the one with the smallest id. Rows without an id stay."""
-    out = ngram_join(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, all columns: of each component one with the smallest id, or one without an id if it has none.
+
+    Rows are judged each by its own text, also where ids are shared or null. Texts without words stay."""
+    if own_ids(docs):
+        out = ngram_join(docs, n, percent).filter("doc_id <> component_id").select("doc_id")
+        return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    each = numbered(docs)
+    found = _join_unique(each.select(F.col("number").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("number"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "number"))
+    stays = found.join(each.select("number", "doc_id"), "number").groupBy("component_id").agg(first.alias("first")).select("first.number")
+    return each.join(stays, "number", "left_semi").select("row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
