@@ -24,6 +24,8 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": _ALONE + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9A-Za-z])",
 }
+#: Whatever a pattern matches holds one of these.
+PREFILTER = r"[0-9@]|AKIA|gh[pousr]_|sk-|(?i:token|passw|pwd|secret|key)"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -77,9 +79,35 @@ def _mod97(text: str) -> str:
 
 
 def _date(v: str) -> tuple[str, str]:
-    """SQL: (date, format) of a valid date; day before month where both readings are valid."""
+    """SQL: (date, format) of a valid date; day before month where both readings are valid, so a month stands first (formats with
+    ``MM/`` or ``MM-`` before the day) only where the day is above 12."""
     formats = "transform(array('yyyy-MM-dd', 'dd/MM/yyyy', 'MM/dd/yyyy', 'dd.MM.yyyy', 'dd-MM-yyyy', 'MM-dd-yyyy'), m -> named_struct('d', cast(try_to_timestamp({v}, m) as date), 'm', m))"
-    return f"filter({formats.format(v=v)}, x -> x.d >= date'1900-01-01' and x.d < date'2100-05-02' and date_format(x.d, x.m) = {v})"
+    return f"filter({formats.format(v=v)}, x -> x.d >= date'1900-01-01' and if(left(x.m, 2) = 'MM', x.d < date'2100-08-01' and day(x.d) > 12, x.d < date'2100-05-02') and date_format(x.d, x.m) = {v})"
+
+
+def _date_number(d: str) -> str:
+    """SQL: number of a date among all from 1900-01-01 on."""
+    return f"datediff({d}, date'1900-01-01')"
+
+
+def _late_days(month: str) -> str:
+    """SQL: number of dates with a day above 12 in the months before ``month`` (0: 1900-01)."""
+    return f"({_date_number(f"add_months(date'1900-01-01', cast({month} as int))")} - 12 * {month})"
+
+
+def _permuted_date(d: str, key: str, reverse: bool) -> str:
+    """SQL: date that replaces ``d`` in a notation with the day first or the year first: any of 271 * 270 days."""
+    n = _date_number(d)
+    return _bind("f", feistel(f"{n} div 270", f"{n} % 270", "271", "270", key, "date", reverse), "date_add(date'1900-01-01', cast(f.l * 270 + f.r as int))")
+
+
+def _permuted_late_date(d: str, key: str, reverse: bool) -> str:
+    """SQL: date that replaces ``d`` in a notation with the month first: one of the 199 * 223 dates with a day above 12, so that it is
+    read month first again. On average a month has 18.4368 of them."""
+    month = f"cast((year({d}) - 1900) * 12 + month({d}) - 1 as int)"
+    n = _bind("m", month, f"{_late_days('m')} + day({d}) - 13")
+    back = _bind("g", "cast(f.l * 223 + f.r as int)", _bind("m", f"filter(transform(sequence(-2, 2), k -> cast(floor(g / 18.4368) as int) + k), k -> k >= 0 and {_late_days('k')} <= g and g < {_late_days('(k + 1)')})[0]", f"date_add(add_months(date'1900-01-01', m), g - {_late_days('m')} + 12)"))
+    return _bind("n", n, _bind("f", feistel("n div 223", "n % 223", "199", "223", key, "late date", reverse), back))
 
 
 def replacement(key: str, reverse: bool = False) -> str:
@@ -89,11 +117,10 @@ def replacement(key: str, reverse: bool = False) -> str:
     secret_at = r"'[A-Za-z0-9+/_\\-]{8,}$'"
     secret = _bind("x", f"regexp_extract(v, {secret_at}, 0)", f"concat(substr(v, 1, length(v) - length(x)), rpad(substr({sha('x', 'secret')}, 1, length(x)), length(x), '0'))")
     access = f"concat(regexp_extract(v, '^(AKIA|gh._|sk-)', 1), substr(upper({sha('v', 'access_key')}), 1, least(length(v) - length(regexp_extract(v, '^(AKIA|gh._|sk-)', 1)), 64)))"
-    email = f"concat('u', substr({sha('lower(v)', 'email')}, 1, 12), '@mail.invalid')"
+    email = f"concat('u', substr({sha('lower(v)', 'email')}, 1, 24), '@mail.invalid')"
     octets = "transform(split(v, '[.]'), x -> cast(x as int))"
     ip = _bind("o", octets, _bind("f", feistel("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", key, "ip", reverse), "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)"))
-    day = "datediff(get(d, 0).d, date'1900-01-01')"
-    date = _bind("d", _date("v"), "if(size(d) = 0, null, " + _bind("f", feistel(f"{day} div 270", f"{day} % 270", "271", "270", key, "date", reverse), out("date", "date_format(date_add(date'1900-01-01', cast(f.l * 270 + f.r as int)), get(d, 0).m)")) + ")")
+    date = _bind("d", _date("v"), "if(size(d) = 0, null, " + _bind("x", "d[0]", out("date", f"date_format(if(left(x.m, 2) = 'MM', {_permuted_late_date('x.d', key, reverse)}, {_permuted_date('x.d', key, reverse)}), x.m)")) + ")")
     area, group, serial = "cast(substr(v, 1, 3) as int)", "cast(substr(v, 5, 2) as int)", "cast(substr(v, 8, 4) as int)"
     valid_ssn = f"{area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0"
     ssn = _bind("f", feistel(f"({area} - if({area} > 666, 2, 1)) * 99 + {group} - 1", f"{serial} - 1", "88902", "9999", key, "ssn", reverse), _bind("n", "cast(f.l div 99 as int)", "concat_ws('-', lpad(n + if(n >= 665, 2, 1), 3, '0'), lpad(f.l % 99 + 1, 2, '0'), lpad(f.r + 1, 4, '0'))"))
@@ -120,8 +147,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     Numbers and dates are validated (Luhn, mod 97, octets, calendar, assigned ranges) and then permuted
     within their format by a keyed Feistel network: a card number stays a valid card number with its network's digit and
-    separators, a date stays a date in its notation (1900-01-01 to 2100-05-01). A value has the same pseudonym in all documents, and two values
-    never share one. With the key, ``reverse`` brings numbers and dates back. Emails, secrets and access keys have no
+    separators, a date stays a date in its notation (1900-01-01 to 2100-05-01; to 2100-07-31 with the month first). A value has the same
+    pseudonym in all documents, and two numbers or dates of a notation never share one. A date that can be read day first is; one that is
+    written month first and has a day above 12 gets such a date again, so it is linked with others of that notation only. With
+    the key, ``reverse`` brings numbers and dates back. Emails (96 bits), secrets and access keys have no
     such format: they become a keyed digest, equal for equal values. What fails its validation stays.
 
     Returns doc_id, n_found, kinds (sorted, comma-joined), pseudonyms (array, in order) and text. A null text stays null with
@@ -133,7 +162,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     scan = f"""transform(array(transform(regexp_extract_all(body, {pattern}, 0), v -> named_struct('v', v, 'x', {replacement(key, reverse)}))), found -> named_struct(
         'x', filter(transform(found, p -> p.x), x -> x is not null),
         'text', array_join(flatten(zip_with(split(body, {pattern}, -1), found, (s, p) -> array(s, if(p is null, '', coalesce(p.x.new, p.v))))), '')))[0]"""
-    scanned = rows.withColumn("scan", F.when(F.col("body").rlike(r"[0-9@]|(?i:token|passw|pwd|secret|key)"), F.expr(scan)))
+    scanned = rows.withColumn("scan", F.when(F.col("body").rlike(PREFILTER), F.expr(scan)))
     none = F.array().cast("array<string>")
     return scanned.select(
         "doc_id",
