@@ -277,8 +277,8 @@ def fit_model(rows: DataFrame) -> Model:
     classes = Classes(n_toxic, n_ordinary, types, n_stems)
     if n_toxic and n_ordinary:
         for level, table, columns, discount in (("word", words, ("toxic", "ordinary"), WORD_DISCOUNT), ("stem", stems, ("stem_toxic", "stem_ordinary"), STEM_DISCOUNT)):
-            mass = mass_of(*(toxic := _by_count(table, columns[0])), discount)
-            discounts = (discount_of(*toxic, mass), discount_of(*_by_count(table, columns[1]), mass))
+            mass = mass_of(*_by_count(table, columns[0]), discount)
+            discounts = (discount, discount_of(*_by_count(table, columns[1]), mass))
             setattr(classes, f"{level}_mass", mass)
             setattr(classes, f"{level}_discounts", discounts)
     whole = types <= BROADCAST_WORDS
