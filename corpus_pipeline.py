@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that is
 written as Parquet and read again. All but the last return the columns of ``docs``; the last adds ``copy`` and
 ``shuffle_key``. A toxic document goes; of equal texts and of each group of near copies one row stays; a document
-that holds a benchmark item goes; the rest is repeated to its source's target weight. Rows without an id
-stay in the filters that go by id.
+that holds a benchmark item goes; the rest is repeated to its source's target weight. Rows are judged each by its own text,
+also where ids are shared or null.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleforge.llm.common import load, shared_dir
-from tripleforge.llm.decontamination import contaminated
+from tripleforge.llm.decontamination import without_contaminated
 from tripleforge.llm.exact_dedup import without_copies
 from tripleforge.llm.mixing import mix_sources
 from tripleforge.llm.ngram_join import without_near_copies
@@ -34,8 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = contaminated(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
