@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, lookups, more, streams, texts
+from . import answers, evaluation, lookups, more, streams, texts
 
 FLAGSHIP = "lookup_top15"
-_MODULES = [lookups, texts, evaluation, streams, more]
+_MODULES = [lookups, texts, evaluation, streams, more, answers]
 
 
 def queries() -> dict:
