@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import answers, evaluation, lookups, more, streams, texts
+from . import answers, errors, evaluation, lookups, more, streams, texts
 
 FLAGSHIP = "lookup_top15"
-_MODULES = [lookups, texts, evaluation, streams, more, answers]
+_MODULES = [lookups, texts, evaluation, streams, more, answers, errors]
 
 
 def queries() -> dict:

@@ -76,9 +76,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def last_by_id(rows: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """A later row of an id overwrites the earlier ones."""
-    newest = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(order_col)))
-    return rows.withColumn("__n", newest).filter("__n = 1").drop("__n")
+    """A later row of an id overwrites the earlier ones; of rows at the same place, the one with the largest values."""
+    newest = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.struct(order_col, *[c for c in rows.columns if c != order_col])).alias("row"))
+    return newest.select(*[F.col("row")[c].alias(c) for c in rows.columns])
 
 
 def page_segments(lines: DataFrame, least: int = 500) -> DataFrame:
@@ -100,5 +100,55 @@ def benchie_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(parts) >= 4).select(*[F.trim(parts[k]).alias(c) for k, c in enumerate(("sent_id", "arg1", "rel", "arg2"))])
 
 
+def find_dump(folder: str, stem: str) -> str:
+    """Path of the first dump, by name, whose name begins with ``stem`` and has ``.ttl`` in it; an error if there is none."""
+    import glob
+    import os
+
+    found = sorted(glob.glob(os.path.join(glob.escape(folder), f"{glob.escape(stem)}*.ttl*")))
+    if not found:
+        raise FileNotFoundError(f"no {stem}*.ttl* in {folder}")
+    return found[0]
+
+
+def wikilink_lines(lines: DataFrame) -> DataFrame:
+    """(uri) of the resources that link lines lead to."""
+    return _links(lines).select(local_name(F.col("o")).alias("uri")).filter("uri <> ''")
+
+
+def property_catalogue(triples: DataFrame, kind: str = "Property") -> DataFrame:
+    """(uri, labels_en, labels_hi, comment, domains, ranges) of the properties among triples (s, p, o, lang; p a local name).
+
+    A label without a language is English; sets are sorted; a property that is declared twice comes once."""
+    own = triples.join(triples.filter((F.col("p") == "type") & (F.col("o") == kind)).select("s").distinct(), "s", "left_semi")
+    values = lambda p, langs=None: F.sort_array(F.collect_set(F.when((F.col("p") == p) & (F.lit(True) if langs is None else F.coalesce("lang", F.lit("")).isin(*langs)), F.col("o"))))
+    comment = F.min(F.when((F.col("p") == "comment") & F.coalesce("lang", F.lit("")).isin("en", ""), F.col("o")))
+    return own.groupBy(F.col("s").alias("uri")).agg(values("label", ("en", "")).alias("labels_en"), values("label", ("hi",)).alias("labels_hi"), comment.alias("comment"), values("domain").alias("domains"), values("range").alias("ranges"))
+
+
+def relation_pairs(lines: DataFrame) -> DataFrame:
+    """(id, first, second, label, cause) of numbered lines (n, value): a tagged sentence, and after it the relation of its two elements."""
+    tagged = lines.filter(F.col("value").contains("<e1>")).select("n", F.regexp_extract("value", r"^(\d+)", 1).cast("long").alias("id"), *[F.lower(F.regexp_extract("value", f"<e{k}>(.*?)</e{k}>", 1)).alias(c) for k, c in ((1, "first"), (2, "second"))])
+    relation = lines.select((F.col("n") - 1).alias("n"), F.col("value").alias("relation"))
+    ahead = F.col("relation").contains("(e1,e2)")
+    return tagged.join(relation, "n").select("id", "first", "second", F.col("relation").contains("Cause-Effect").cast("long").alias("label"), F.when(ahead, F.col("first")).otherwise(F.col("second")).alias("cause"))
+
+
+def sentence_lines(lines: DataFrame) -> DataFrame:
+    """(id, sentence) of the lines (id, value) that aren't blank."""
+    return lines.select("id", F.trim("value").alias("sentence")).filter("sentence <> ''")
+
+
+def mention_table(spark: SparkSession, path: str) -> DataFrame:
+    """(mention, context) of a .csv or .json(l) file, by its suffix; other suffixes are an error."""
+    if path.endswith(".csv"):
+        rows = spark.read.csv(path, header=True, quote='"', escape='"')
+    elif path.endswith((".json", ".jsonl")):
+        rows = spark.read.json(path, multiLine=path.endswith(".json"))
+    else:
+        raise ValueError(f"unknown kind of file: {path}")
+    return rows.select(F.col("mention").cast("string"), F.col("context").cast("string") if "context" in rows.columns else F.lit(None).cast("string").alias("context"))
+
+
 def resource_uri(title: Column) -> Column:
     return F.concat(F.lit(RESOURCE), F.replace(title, F.lit(" "), F.lit("_")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,43 @@ def import_index(spark: SparkSession, path: str) -> DataFrame:
     if wanted != found:
         raise ValueError(f"the dump has {found} rows, its manifest says {wanted}")
     return rows
+
+
+def _xml(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def rdf_xml_lines(s: Column, p: Column, o: Column) -> Column:
+    """A triple as an RDF/XML description; a URI object is a resource, anything else a literal."""
+    about = F.replace(_xml(s), F.lit('"'), F.lit("&quot;"))
+    literal = F.concat(F.lit("<"), p, F.lit(">"), _xml(o), F.lit("</"), p, F.lit(">"))
+    linked = F.concat(F.lit("<"), p, F.lit(' rdf:resource="'), F.replace(_xml(o), F.lit('"'), F.lit("&quot;")), F.lit('"/>'))
+    return F.concat(F.lit('<rdf:Description rdf:about="'), about, F.lit('">'), F.when(o.rlike("^https?://"), linked).otherwise(literal), F.lit("</rdf:Description>"))
+
+
+def csv_line(*values: Column) -> Column:
+    """A CSV line: values with a comma, quote or line break are quoted, quotes doubled."""
+    quoted = lambda c: F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    return F.concat_ws(",", *[quoted(c) for c in values])
+
+
+def extraction_lines(rows: DataFrame) -> DataFrame:
+    """Tab lines (value) of extractions (sent_id, arg1, rel, arg2) whose slots are all there."""
+    whole = rows.dropna(subset=["sent_id", "arg1", "rel", "arg2"]).filter("trim(arg1) <> '' AND trim(rel) <> '' AND trim(arg2) <> ''")
+    return whole.select(F.concat_ws("\t", "sent_id", "arg1", "rel", "arg2").alias("value"))
+
+
+def conll_lines(words: Column, mentions: Column) -> Column:
+    """Lines ``word mark`` of mentions (first, last, cluster): ``(c`` opens, ``c)`` closes, ``(c)`` is one word, ``-`` none; several marks
+    of a word are joined by bars."""
+
+    def line(w: Column, i: Column) -> Column:
+        own = F.filter(mentions, lambda m: (m["first"] == i) | (m["last"] == i))
+        marks = F.transform(own, lambda m: F.concat(F.when(m["first"] == i, "(").otherwise(""), m["cluster"], F.when(m["last"] == i, ")").otherwise("")))
+        return F.concat_ws(" ", w, F.when(F.size(marks) > 0, F.array_join(marks, "|")).otherwise("-"))
+
+    return F.transform(words, line)
+
+
+def markdown_row(*values: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
