@@ -69,7 +69,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_rebel_and_bio(spark):
-    assert oie.decode_rebel("<s><triplet> A <subj> B <obj> r1 <subj> C <obj> r2 <triplet> D <subj> E <obj> r3</s>") == [{"head": "A", "type": "r1", "tail": "B"}, {"head": "A", "type": "r2", "tail": "C"}, {"head": "D", "type": "r3", "tail": "E"}]
+    marked = spark.createDataFrame([("<s><triplet> A <subj> B <obj> r1 <subj> C <obj> r2 <triplet> D <subj> E <obj> r3</s>",), ("<subj> x <obj> y <triplet> A <obj> r <subj> B",), ("",), (None,)], "m string")
+    found = [[tuple(t) for t in r.t] if r.t is not None else None for r in marked.select(oie.rebel_triples(marked.m).alias("t")).collect()]
+    assert found == [[("A", "r1", "B"), ("A", "r2", "C"), ("D", "r3", "E")], [], [], None]
     row = spark.createDataFrame([(["a", "b", "c", "d"], ["B-PER", "I-PER", "O", "I-LOC"])], "w array<string>, t array<string>").select(oie.bio_mentions(F.col("w"), F.col("t")).alias("m")).first()
     assert [(m.s, m.e, m.k) for m in row.m] == [(0, 2, "PER"), (3, 4, "LOC")]
 

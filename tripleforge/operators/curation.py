@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank, smallest
+
 
 def keep_first(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -27,11 +29,9 @@ def routed(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
 
 def balanced_negatives(rows: DataFrame, label: str, id_col: str, seed: int = 7) -> DataFrame:
     """All positives and as many negatives, the ones with the smallest seeded hashes."""
-    n_pos = rows.agg(F.count_if(F.col(label) == 1).alias("n_pos"))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    ranked = rows.filter(F.col(label) == 0).withColumn("__n", F.row_number().over(Window.orderBy(order, id_col)))
-    negative = ranked.crossJoin(F.broadcast(n_pos)).filter("__n <= n_pos").drop("__n", "n_pos")
-    return rows.filter(F.col(label) == 1).unionByName(negative)
+    positive, negative = rows.filter(F.col(label) == 1), rows.filter(F.col(label) == 0)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    return positive.unionByName(smallest(negative, positive.count(), digest, id_col))
 
 
 def merge_system(messages: DataFrame, conv: str, turn: str) -> DataFrame:
@@ -51,7 +51,14 @@ def merge_system(messages: DataFrame, conv: str, turn: str) -> DataFrame:
     return messages.groupBy(conv).agg(fold.alias("messages"))
 
 
-def stratified(rows: DataFrame, order: list[Column], strata: int, per: int) -> DataFrame:
-    """``per`` rows from each of ``strata`` even slices of the order: a sampling operator."""
-    sliced = rows.withColumn("stratum", F.ntile(strata).over(Window.orderBy(*order)).cast("long"))
-    return sliced.withColumn("n", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)).cast("long")).filter(F.col("n") <= per)
+def stratified(rows: DataFrame, coarse: dict[str, Column], order: list[Column], strata: int, per: int) -> DataFrame:
+    """``per`` rows from each of ``strata`` even slices of the order (``coarse`` columns, then ``order``): a sampling operator. The first
+    slices have one row more where the rows don't divide evenly."""
+    total = rows.count()
+    size, more = divmod(total, strata)
+    ranked = global_rank(rows, coarse, order).withColumn("rank", F.col("rank") - 1)
+    cut, r = more * (size + 1), F.col("rank")
+    stratum = F.when(r < cut, F.floor(r / F.lit(size + 1))).otherwise(more + F.floor((r - cut) / F.lit(max(1, size))))
+    first = F.when(F.col("stratum") < more, F.col("stratum") * (size + 1)).otherwise(cut + (F.col("stratum") - more) * size)
+    sliced = ranked.withColumn("stratum", stratum.cast("long")).withColumn("n", (r - first + 1).cast("long")).filter(F.col("n") <= per)
+    return sliced.withColumn("stratum", F.col("stratum") + 1).drop("rank")

@@ -7,45 +7,27 @@ import difflib
 import pandas as pd
 from pyspark.sql import functions as F
 
-TRIPLES = "array<struct<head:string,type:string,tail:string>>"
+def rebel_triples(c):
+    """Triples (head, type, tail) of a marked sequence: after each ``<triplet>`` a head, then any number of ``<subj>`` tail ``<obj>`` relation.
+    Markers stand between blanks; of several relations of a tail the last counts; a triple without one of its slots goes."""
+    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(c, "</?s>|<pad>", ""), r"\s+", " ")), F.lit(" "))
+    cut = lambda text, marker: F.split(text, rf"(?<= )<{marker}>(?= )", -1)
+    rest = lambda parts: F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
+    def one(head, part):
+        sides = cut(part, "obj")
+        return F.struct(F.trim(cut(head, "obj")[0]).alias("head"), F.trim(F.when(F.size(sides) > 1, F.element_at(sides, -1)).otherwise("")).alias("type"), F.trim(sides[0]).alias("tail"))
 
-def decode_rebel(text: str | None) -> list[dict]:
-    """Triples of a marked sequence: <triplet> head <subj> tail <obj> relation; a pending one is emitted when the next begins."""
-    out, slots, state = [], {"t": "", "s": "", "o": ""}, ""
-
-    def emit():
-        if slots["o"].strip():
-            out.append({"head": slots["t"].strip(), "type": slots["o"].strip(), "tail": slots["s"].strip()})
-
-    for token in (text or "").replace("<s>", "").replace("<pad>", "").replace("</s>", "").split():
-        if token == "<triplet>":
-            emit()
-            slots, state = {"t": "", "s": "", "o": ""}, "t"
-        elif token == "<subj>":
-            emit()
-            slots["s"] = slots["o"] = ""
-            state = "s"
-        elif token == "<obj>":
-            slots["o"], state = "", "o"
-        elif state:
-            slots[state] += " " + token
-    emit()
-    return [t for t in out if t["head"] and t["tail"]]
-
-
-def rebel_triples(column):
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(decode_rebel)
-
-    return F.pandas_udf(run, TRIPLES)(column)
+    groups = F.transform(rest(cut(clean, "triplet")), lambda g: cut(g, "subj"))
+    found = F.flatten(F.transform(groups, lambda parts: F.transform(rest(parts), lambda p: one(parts[0], p))))
+    return F.filter(found, lambda t: (t["head"] != "") & (t["type"] != "") & (t["tail"] != ""))
 
 
 def sequence_ratio(left, right):
-    """Ratio of matching characters in the longest matching blocks, recursively."""
+    """Ratio of matching characters in the longest matching blocks, recursively; 0 for nulls, which cost nothing."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(run, "double")(left, right)
 
@@ -55,8 +37,9 @@ def locked(uri_label, mention, threshold: float = 0.82):
     clean = lambda c: F.lower(F.trim(F.replace(c, F.lit("_"), F.lit(" "))))
     label, wanted = clean(uri_label), clean(mention)
     bare = F.trim(F.regexp_replace(label, r"\s*\([^)]*\)", ""))
-    ratio = F.greatest(sequence_ratio(label, wanted), sequence_ratio(bare, wanted))
-    return (label == wanted) | (bare == wanted) | (ratio >= threshold)
+    same = (label == wanted) | (bare == wanted)
+    left = lambda c: F.when(~same, c)  # noqa: E731  what is equal isn't compared letter by letter
+    return same | (sequence_ratio(left(label), wanted) >= threshold) | (sequence_ratio(left(F.when(bare != label, bare)), wanted) >= threshold)
 
 
 def bio_mentions(words, tags):

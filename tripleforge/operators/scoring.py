@@ -60,6 +60,12 @@ def rank_metrics(ranks: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
     return ranks.agg(*hits, F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
 
 
+def lea_scores(key: DataFrame, response: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of clusters: each side's links resolved by the other."""
+    p, r = lea(response, key).select(F.col("lea").alias("precision")), lea(key, response).select(F.col("lea").alias("recall"))
+    return p.crossJoin(r).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall")], F.round(f1(F.col("precision"), F.col("recall")), 6).alias("f1"))
+
+
 def lea(key: DataFrame, response: DataFrame) -> DataFrame:
     """Link-based entity-aware recall of clusters (doc, cluster, mention): size-weighted share of resolved links; single mentions are
     skipped. Links are counted from cluster overlaps, n(n-1)/2 each, so no pair is made."""
@@ -68,4 +74,4 @@ def lea(key: DataFrame, response: DataFrame) -> DataFrame:
     links = both.groupBy("doc", "cluster").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("found"))
     joined = sizes.join(links, ["doc", "cluster"], "left").withColumn("found", F.coalesce("found", F.lit(0.0)))
     share = F.col("found") / (F.col("size") * (F.col("size") - 1) / 2)
-    return joined.agg(F.round(safe_ratio(F.sum(F.col("size") * share), F.sum("size")), 6).alias("lea"), F.sum("size").alias("mentions"))
+    return joined.agg(safe_ratio(F.sum(F.col("size") * share), F.sum("size")).alias("lea"), F.sum("size").alias("mentions"))

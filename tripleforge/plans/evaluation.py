@@ -89,11 +89,13 @@ s AS (SELECT doc, cluster, count(*) AS size FROM k GROUP BY 1, 2 HAVING count(*)
 f AS (SELECT doc, cluster, sum(n * (n - 1) / 2) AS found FROM b GROUP BY 1, 2)"""
 
 
-@query("lea", f"WITH {_LEA_SQL} SELECT round(sum(size * coalesce(found, 0) / (size * (size - 1) / 2)) / sum(size), 6) AS lea, sum(size)::BIGINT AS mentions FROM s LEFT JOIN f USING (doc, cluster)")
+@query("lea", f"""WITH {_LEA_SQL}, rs AS (SELECT doc, cluster, count(*) AS size FROM r GROUP BY 1, 2 HAVING count(*) > 1), rf AS (SELECT doc, other AS cluster, sum(n * (n - 1) / 2) AS found FROM b GROUP BY 1, 2),
+x AS (SELECT sum(size * coalesce(found, 0) / (size * (size - 1) / 2)) / sum(size) AS recall FROM s LEFT JOIN f USING (doc, cluster)), y AS (SELECT sum(size * coalesce(found, 0) / (size * (size - 1) / 2)) / sum(size) AS precision FROM rs LEFT JOIN rf USING (doc, cluster))
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM x, y""")
 def lea(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem")
     side = lambda c: lines.select(F.col("l_orderkey").alias("doc"), F.col(c).alias("cluster"), F.col("l_partkey").alias("mention")).distinct()
-    return scoring.lea(side("l_returnflag"), side("l_linestatus"))
+    return scoring.lea_scores(side("l_returnflag"), side("l_linestatus"))
 
 
 @query("quote_conventions", """SELECT p_type AS pid, count(*) AS n, round(avg((p_size > 25)::INT), 6) AS share, avg((p_size > 25)::INT) >= 0.4 AS quoted, count(*) >= 3 AND avg((p_size > 25)::INT) >= 0.8 AS literal FROM part GROUP BY 1""")
@@ -180,15 +182,16 @@ def balanced_negatives(spark, sf_dir):
     return curation.balanced_negatives(rows, "y", "event_id")
 
 
-@query("merged_messages", "SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS chat FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("merged_messages", """WITH m AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM conversations), s AS (SELECT conv_id, g, string_agg(text || chr(10), '' ORDER BY turn, role, text) AS held FROM m WHERE role = 'system' GROUP BY 1, 2)
+SELECT conv_id, coalesce(string_agg(role || ':' || CASE WHEN role = 'user' THEN coalesce(held, '') ELSE '' END || text, chr(10) ORDER BY turn, role, text) FILTER (role <> 'system'), '') AS chat FROM m LEFT JOIN s USING (conv_id, g) GROUP BY conv_id""")
 def merged_messages(spark, sf_dir):
-    merged = curation.merge_system(load(spark, sf_dir, "conversations").filter("role <> 'system'"), "conv_id", "turn")
+    merged = curation.merge_system(load(spark, sf_dir, "conversations"), "conv_id", "turn")
     return merged.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n").alias("chat"))
 
 
 @query("stratified_sample", "SELECT doc_id, stratum, n FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY n_chars, doc_id) AS n FROM (SELECT doc_id, n_chars, ntile(20) OVER (ORDER BY n_chars, doc_id) AS stratum FROM documents)) WHERE n <= 25")
 def stratified_sample(spark, sf_dir):
-    return curation.stratified(load(spark, sf_dir, "documents"), [F.col("n_chars"), F.col("doc_id")], 20, 25).select("doc_id", "stratum", "n")
+    return curation.stratified(load(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars"), "__range": F.floor(F.col("doc_id") / 1_000_000)}, [F.col("doc_id")], 20, 25).select("doc_id", "stratum", "n")
 
 
 @query("capped_feed", """WITH k AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS a FROM events WHERE value > 1 QUALIFY a <= 6)

@@ -77,11 +77,7 @@ SELECT mention, max(CASE WHEN a = 1 THEN uri END) AS tier_first, max(CASE WHEN b
     row_number() OVER (PARTITION BY mention ORDER BY final / tier DESC, uri) AS c, row_number() OVER (PARTITION BY mention ORDER BY 0.5 * tier + 0.5 * ln(1 + final) DESC, uri) AS d FROM pool) GROUP BY mention""")
 def rank_schemes(spark, sf_dir):
     pool = index.first_variant_pool(mentions(spark, sf_dir), surface_table(spark, sf_dir))
-    out = None
-    for scheme in ("tier_first", "final_only", "popularity", "blended"):
-        best = index.ranked(pool, scheme, 1).select("mention", F.col("uri").alias(scheme))
-        out = best if out is None else out.join(best, "mention")
-    return out
+    return index.scheme_winners(pool)
 
 
 @query("union_lookup", """WITH a AS (SELECT lower(p_name) AS form, 'B:' || p_brand AS uri, count(*) AS support FROM part GROUP BY 1, 2),
@@ -95,20 +91,29 @@ def union_lookup(spark, sf_dir):
     return index.union_lookup(part.select(F.lower("p_name").alias("mention")).distinct(), anchors, redirects)
 
 
-@query("redirect_closure", """WITH RECURSIVE r AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey),
-w AS (SELECT src, dst, 1 AS hops FROM r UNION ALL SELECT w.src, r.dst, hops + 1 FROM w JOIN r ON w.dst = r.src WHERE hops < 16)
+_REDIRECTS_SQL = """r AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <> o_custkey UNION ALL SELECT 1000000 + p_partkey, 1000001 + p_partkey FROM part UNION ALL SELECT 2000000 + s_suppkey, 2000000 + s_suppkey // 4 * 4 + (s_suppkey + 1) % 4 FROM supplier)"""
+
+
+@query("redirect_closure", f"""WITH RECURSIVE {_REDIRECTS_SQL}, w AS (SELECT src, dst, [src] AS seen, 1 AS hops FROM r UNION ALL SELECT w.src, r.dst, list_append(seen, w.dst), hops + 1 FROM w JOIN r ON w.dst = r.src WHERE hops < 10 AND NOT list_contains(seen, w.dst))
 SELECT src, max_by(dst, hops) AS dst FROM w GROUP BY src""")
 def redirect_closure(spark, sf_dir):
+    """Redirects of orders, one chain of all parts, and cycles of suppliers."""
+    from tripleforge.plans.checkpoints import ensure
+
+    ensure(spark)
+    part, supplier = F.col("p_partkey"), F.col("s_suppkey")
     chains = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    chains = chains.unionByName(load(spark, sf_dir, "part").select((1_000_000 + part).alias("src"), (1_000_001 + part).alias("dst")))
+    chains = chains.unionByName(load(spark, sf_dir, "supplier").select((2_000_000 + supplier).alias("src"), (2_000_000 + F.floor(supplier / 4) * 4 + (supplier + 1) % 4).alias("dst")))
     return index.redirect_closure(chains, 10)
 
 
 def order_part_pairs(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem")
-    return lines.filter("l_quantity >= 45").select(tables.resource("Order", F.col("l_orderkey")).alias("a"), tables.resource("Part", F.col("l_partkey")).alias("b")).distinct()
+    return lines.select(tables.resource("Order", F.col("l_orderkey")).alias("a"), tables.resource("Part", F.col("l_partkey")).alias("b")).distinct()
 
 
-_PAIRS_SQL = f"""pairs AS (SELECT DISTINCT '{RESOURCE}Order_' || l_orderkey AS a, '{RESOURCE}Part_' || l_partkey AS b FROM lineitem WHERE l_quantity >= 45)"""
+_PAIRS_SQL = f"""pairs AS (SELECT DISTINCT '{RESOURCE}Order_' || l_orderkey AS a, '{RESOURCE}Part_' || l_partkey AS b FROM lineitem)"""
 
 
 @query("graph_between", f"""WITH {EDGES_SQL}, {_PAIRS_SQL} SELECT DISTINCT a, b, p, 'forward' AS direction FROM pairs JOIN edges ON a = s AND b = o
@@ -123,10 +128,10 @@ def graph_only_linked(spark, sf_dir):
 
 
 @query("graph_two_hop", f"""WITH {EDGES_SQL}, both_ways AS (SELECT s AS x, o AS y FROM edges UNION SELECT o, s FROM edges),
-pairs AS (SELECT DISTINCT '{RESOURCE}Order_' || l_orderkey AS a, '{RESOURCE}Supplier_' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 45)
+pairs AS (SELECT DISTINCT '{RESOURCE}Order_' || l_orderkey AS a, '{RESOURCE}Supplier_' || l_suppkey AS b FROM lineitem)
 SELECT a, b, count(DISTINCT l.y) AS n_via FROM pairs JOIN both_ways l ON l.x = a JOIN both_ways r ON r.x = b AND r.y = l.y GROUP BY a, b""")
 def graph_two_hop(spark, sf_dir):
-    lines = load(spark, sf_dir, "lineitem").filter("l_quantity >= 45")
+    lines = load(spark, sf_dir, "lineitem")
     return graph.two_hop(tables.edges(spark, sf_dir), lines.select(tables.resource("Order", F.col("l_orderkey")).alias("a"), tables.resource("Supplier", F.col("l_suppkey")).alias("b")))
 
 
@@ -166,6 +171,25 @@ def graph_verify(spark, sf_dir):
     return graph.verify(tables.edges(spark, sf_dir), claimed(spark, sf_dir))
 
 
+@query("graph_verify_all", f"""WITH {EDGES_SQL}, {_CLAIMS_SQL}, n AS (SELECT s AS node FROM edges UNION SELECT o FROM edges), so AS (SELECT s, o FROM edges UNION SELECT o, s FROM edges),
+d AS (SELECT DISTINCT s, p, o FROM (SELECT * FROM claims UNION ALL SELECT '{RESOURCE}Nation_' || (c_custkey % 25), '{ONTOLOGY}livesIn', '{RESOURCE}Customer_' || c_custkey FROM customer)),
+home AS (SELECT s FROM edges WHERE p = '{ONTOLOGY}nation' AND o = '{RESOURCE}Nation_3'), unasked AS (SELECT '{RESOURCE}Order_' || o_orderkey || 'x' AS node FROM orders WHERE o_orderkey % 10 = 9), idx AS (SELECT '{RESOURCE}Customer_' || c_custkey || 'x' AS node FROM customer WHERE c_custkey % 2 = 0)
+SELECT d.s, d.p, d.o, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.s = d.s AND e.p = d.p AND e.o = d.o) THEN 'VERIFIED'
+  WHEN d.p <> '{ONTOLOGY}customer' AND EXISTS (SELECT 1 FROM edges e WHERE e.s = d.o AND e.p = d.p AND e.o = d.s) THEN 'INVERTED'
+  WHEN d.p = '{ONTOLOGY}customer' AND d.o NOT IN (SELECT s FROM home) AND d.s IN (SELECT s FROM home) THEN 'INVERTED'
+  WHEN EXISTS (SELECT 1 FROM so WHERE so.s = d.s AND so.o = d.o) THEN 'RELATED' WHEN d.s IN (SELECT node FROM unasked) OR d.o IN (SELECT node FROM unasked) THEN 'UNVERIFIED'
+  WHEN d.s IN (SELECT node FROM n) AND d.o IN (SELECT node FROM n) THEN 'FAITHFUL' WHEN d.s IN (SELECT node FROM n) AND d.o IN (SELECT node FROM idx) THEN 'UNVERIFIED' WHEN d.s IN (SELECT node FROM n) THEN 'OBJ_MISSING' ELSE 'REJECTED' END AS status FROM d""")
+def graph_verify_all(spark, sf_dir):
+    """The whole ladder: a symmetric predicate is never turned, a range that only the subject fits turns a claim, names that the index has and
+    resources that could not be asked for are accepted unverified."""
+    customer, orders = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    lives = customer.select(tables.resource("Nation", F.col("c_custkey") % 25).alias("s"), F.lit(ONTOLOGY + "livesIn").alias("p"), tables.resource("Customer", F.col("c_custkey")).alias("o"))
+    other = lambda name, key: F.concat(tables.resource(name, F.col(key)), F.lit("x")).alias("node")
+    ranges = spark.createDataFrame([(ONTOLOGY + "customer", RESOURCE + "Nation_3")], "p string, range string")
+    claims = claimed(spark, sf_dir).unionByName(lives).distinct()
+    return graph.verify(tables.edges(spark, sf_dir), claims, (ONTOLOGY + "customer",), customer.filter("c_custkey % 2 = 0").select(other("Customer", "c_custkey")), orders.filter("o_orderkey % 10 = 9").select(other("Order", "o_orderkey")), ranges, ONTOLOGY + "nation")
+
+
 @query("graph_degrees", f"WITH {EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT s AS node FROM edges UNION ALL SELECT o FROM edges) GROUP BY node")
 def graph_degrees(spark, sf_dir):
     return graph.degrees(tables.edges(spark, sf_dir))
@@ -238,18 +262,6 @@ def joint_pairs(spark, sf_dir):
     return pairs.withColumn("rank", F.row_number().over(window).cast("long")).filter("rank <= 5").select("id", "sub", "obj", F.round("raw", 4).alias("score"), "rank")
 
 
-@query("vector_top_k", """WITH q AS (SELECT label, list_transform(range(1, len(any_value(embedding)) + 1), lambda i: 0) AS z FROM embeddings GROUP BY label), c AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 10)
-SELECT c.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(c.e, d.embedding::DOUBLE[]), 6) AS sim, row_number() OVER (PARTITION BY c.vec_id ORDER BY round(list_cosine_similarity(c.e, d.embedding::DOUBLE[]), 6) DESC, d.vec_id) AS rank
-FROM c JOIN embeddings d ON c.vec_id <> d.vec_id QUALIFY rank <= 5""")
-def vector_top_k(spark, sf_dir):
-    """Ten stated query vectors against all rows: the query side is bounded, so it is broadcast."""
-    rows = load(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(similarity.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
-    window = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter("rank <= 5")
-
-
 @query("surface_variants")
 def surface_variants(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.surface_variants(F.concat(F.lit("The "), "p_type", F.lit("-"), "p_brand"))).alias("pos", "variant"))

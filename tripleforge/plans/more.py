@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleforge.functions.similarity import safe_ratio
 from tripleforge.functions.text import ONTOLOGY
 from tripleforge.operators import graph
+from tripleforge.operators.ranks import global_rank
 
 from . import tables
 from .tables import EDGES_SQL, TRIPLES_SQL, load
@@ -64,7 +65,7 @@ def co_mentions(spark, sf_dir):
 @query("head_tail_labels", "SELECT o_orderkey, c_name AS head, n_name AS tail FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def head_tail_labels(spark, sf_dir):
     customer, nation = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
-    joined = load(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    joined = load(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return joined.select("o_orderkey", F.col("c_name").alias("head"), F.col("n_name").alias("tail"))
 
 
@@ -111,9 +112,9 @@ def hash_split(spark, sf_dir):
 
 @query("entity_ids", "SELECT p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS id FROM (SELECT DISTINCT p_brand FROM part)")
 def entity_ids(spark, sf_dir):
-    """Integer ids in name order; the ranked table is the distinct names of a vocabulary."""
+    """Integer ids in name order: names are sorted within groups of their first letters."""
     names = load(spark, sf_dir, "part").select("p_brand").distinct()
-    return names.withColumn("id", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("long"))
+    return global_rank(names, {"__head": F.substring("p_brand", 1, 7)}, [F.col("p_brand")], "id").withColumn("id", F.col("id") - 1)
 
 
 @query("under_extraction", f"WITH {TRIPLES_SQL}, g AS (SELECT id, count(*) AS g FROM gk GROUP BY 1), p AS (SELECT id, count(*) AS q FROM pk GROUP BY 1) SELECT sum(greatest(g - coalesce(q, 0), 0))::BIGINT AS missing, count(*) FILTER (g = coalesce(q, 0)) AS complete, count(*) FILTER (q IS NULL) AS without FROM g LEFT JOIN p USING (id)")

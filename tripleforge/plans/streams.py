@@ -82,14 +82,18 @@ def extracted_triples(spark, sf_dir):
     return models.extract(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sentence")), models.first_last)
 
 
-@query("rebel_triples", "SELECT p_partkey, p_name AS head, p_type AS type, p_brand AS tail FROM part")
+@query("rebel_triples", "SELECT p_partkey, p_name AS head, p_type AS type, p_brand AS tail FROM part UNION ALL SELECT p_partkey, p_name, 'r2', 'Size ' || p_size FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'H2', 'r3', p_brand FROM part WHERE p_size > 25")
 def rebel_triples(spark, sf_dir):
-    marked = F.format_string("<s><triplet> %s <subj> %s <obj> %s</s>", "p_name", "p_brand", "p_type")
+    """A second tail, a second head, a triple without a relation, and a relation that is said again."""
+    more = F.when(F.col("p_size") > 25, F.format_string(" <subj> Size  %s <obj> r1 <obj> r2 <subj> none <obj> <triplet> H2 <subj> %s <obj> r3 <pad>", "p_size", "p_brand")).otherwise("")
+    marked = F.format_string("<s><triplet> %s <subj> %s <obj> %s%s</s>", "p_name", "p_brand", "p_type", more)
     return load(spark, sf_dir, "part").select("p_partkey", F.inline(oie.rebel_triples(marked)))
 
 
-@query("entity_locks", "SELECT p_partkey, true AS same, p_brand = 'Brand#1' AS first FROM part")
+@query("entity_locks", "SELECT p_partkey, p_partkey % 4 <> 3 AS same, round(2 * length(p_name) / (2 * length(p_name) + 1), 6) AS ratio FROM part")
 def entity_locks(spark, sf_dir):
-    part = load(spark, sf_dir, "part")
-    label = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_("), "p_brand", F.lit(")"))
-    return part.select("p_partkey", oie.locked(label, F.col("p_name")).alias("same"), (oie.sequence_ratio(F.col("p_brand"), F.lit("Brand#1")) == 1.0).alias("first"))
+    """Labels with a parenthesis, as they are, with a letter too many, and of something else."""
+    kind, name = F.col("p_partkey") % 4, F.replace("p_name", F.lit(" "), F.lit("_"))
+    label = F.when(kind == 0, F.concat(name, F.lit("_("), "p_brand", F.lit(")"))).when(kind == 1, F.upper(name)).when(kind == 2, F.concat(name, F.lit("s"))).otherwise("0123456789_0123456789")
+    ratio = F.round(oie.sequence_ratio(F.col("p_name"), F.concat("p_name", F.lit("0"))), 6)
+    return load(spark, sf_dir, "part").select("p_partkey", oie.locked(label, F.col("p_name")).alias("same"), ratio.alias("ratio"))

@@ -115,14 +115,22 @@ def token_jaccard(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.round(similarity.jaccard(words(F.col("p_name")), words(other)), 6).alias("sim"))
 
 
-@query("predicate_alignment")
+def _ends(a: str, b: str) -> str:
+    """SQL: length of the longest common prefix."""
+    return f"coalesce(list_max(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: {a}[1:k] = {b}[1:k])), 0)"
+
+
+@query("predicate_alignment", f"""WITH n AS (SELECT DISTINCT p_type AS domain, lower(p_name) AS predicate FROM part), a AS (SELECT DISTINCT p_type AS domain, lower(p_name) AS allowed FROM part WHERE p_size > 44),
+j AS (SELECT domain, predicate, allowed, string_split(predicate, ' ') AS x, string_split(allowed, ' ') AS y FROM n JOIN a USING (domain)),
+s AS (SELECT domain, predicate, allowed, round(CASE WHEN predicate = allowed THEN 1.0 ELSE greatest(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), greatest({_ends('predicate', 'allowed')}, {_ends('reverse(predicate)', 'reverse(allowed)')}) / greatest(length(predicate), length(allowed))) END, 6)::DOUBLE AS sim FROM j)
+SELECT domain, predicate, allowed, sim FROM s WHERE sim >= 0.6 QUALIFY row_number() OVER (PARTITION BY domain, predicate ORDER BY sim DESC, allowed) = 1""")
 def predicate_alignment(spark, sf_dir):
-    """Each part name against the few allowed predicates: the best of at least 0.6, the first of equal ones."""
-    allowed = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.lower("n_name").alias("allowed"))
-    names = load(spark, sf_dir, "nation").select(F.concat(F.lower("n_name"), F.lit(" x")).alias("predicate"))
-    scored = names.crossJoin(F.broadcast(allowed)).withColumn("sim", F.round(similarity.predicate_similarity(F.col("predicate"), F.col("allowed")), 6))
-    window = Window.partitionBy("predicate").orderBy(F.desc("sim"), "pos")
-    return scored.withColumn("k", F.row_number().over(window)).filter("k = 1 AND sim >= 0.6").select("predicate", "allowed", "sim")
+    """Each predicate against the allowed ones of its domain: the best of at least 0.6, the first of equal ones."""
+    part = load(spark, sf_dir, "part").select(F.col("p_type").alias("domain"), F.lower("p_name").alias("predicate"), "p_size")
+    allowed = part.filter("p_size > 44").select("domain", F.col("predicate").alias("allowed")).distinct()
+    scored = part.select("domain", "predicate").distinct().join(allowed, "domain").withColumn("sim", F.round(similarity.predicate_similarity(F.col("predicate"), F.col("allowed")), 6)).filter("sim >= 0.6")
+    window = Window.partitionBy("domain", "predicate").orderBy(F.desc("sim"), "allowed")
+    return scored.withColumn("k", F.row_number().over(window)).filter("k = 1").select("domain", "predicate", "allowed", "sim")
 
 
 @query("distance_buckets", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 5 THEN l_quantity::BIGINT ELSE least(floor(log2(l_quantity)), 6)::BIGINT + 2 END AS bucket FROM lineitem")

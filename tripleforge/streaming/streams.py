@@ -49,3 +49,13 @@ def write_chunks(stream: DataFrame, checkpoint: str, out: str) -> StreamingQuery
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of a cache (expires_at, ...) that haven't expired at ``now``, a table of one row."""
+    return rows.crossJoin(F.broadcast(now.limit(1))).filter(F.col("expires_at") > F.col("now")).drop("now")
+
+
+def append_reviews(stream: DataFrame, path: str, checkpoint: str):
+    """Append a stream of decisions to a table of reviews; the checkpoint keeps a restart from writing a batch twice."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
