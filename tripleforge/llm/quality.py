@@ -21,8 +21,12 @@ HELD_OUT = 1
 FIT, CALIBRATION = 0, 2
 #: Largest numbers of documents that these two learn from: the ones with the smallest hashes of their ids.
 FIT_ROWS, CALIBRATION_ROWS = 3_000, 10_000
-#: Lines of a document that the field learns from at most (scoring takes all).
-FIT_LINES = 400
+#: Lines that the field learns from at most: documents are left out from where their lines, added up by the hashes of ids, exceed it.
+FIT_LINES = 300_000
+#: In fitting, a longer text is several sequences of so many lines; scoring takes a text as one.
+SEQUENCE_LINES = 200
+#: Times that the lines' labels are refined, and the share of a text's length that keeps its document's label.
+REFINEMENTS, KEPT_SHARE = 2, 0.5
 
 _SYMBOLS = b"#$%&*@^~_=+<>{}[]\\/`"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -84,58 +88,110 @@ def marginals(score: np.ndarray, stay_bad: float, to_good: float, to_bad: float,
     return out
 
 
-def fit_field(texts: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, 2 x 2 log factors of a step from state to state): ascent on the conditional likelihood of the line labels.
-
-    The sequences run side by side, so a step of the recursion is one array operation over all texts."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    texts, labels = [texts[k] for k in order], labels[order].astype(int)
-    length = np.array([len(t) for t in texts])
-    longest, width = int(length[0]), texts[0].shape[1]
-    x = np.zeros((longest, len(texts), width), np.float32)
-    for k, t in enumerate(texts):
-        x[: len(t), k] = t
-    live = [int((length > t).sum()) for t in range(longest)]  # texts that have line t: the first ones
-    mask = np.arange(longest)[:, None] < length[None, :]
-    weights, steps_log = np.zeros(width), np.zeros((2, 2))
-    moments = [np.zeros(width + 4), np.zeros(width + 4)]
-    total = mask.sum()
-    observed = np.zeros((2, 2))
-    for c in (0, 1):
-        observed[c, c] = (length[labels == c] - 1).sum()
-    for step in range(1, steps + 1):
-        score = np.clip(x @ weights.astype(np.float32), -30, 30).astype(float)
-        factor = np.exp(steps_log)
-        forward, backward = np.ones((longest, len(texts), 2)), np.ones((longest, len(texts), 2))
-        emit = np.stack([np.ones_like(score), np.exp(score)], axis=2)
-        forward[0] = emit[0] / emit[0].sum(1, keepdims=True)
-        for t in range(1, longest):
-            n = live[t]
-            f = (forward[t - 1, :n] @ factor) * emit[t, :n]
-            forward[t, :n] = f / f.sum(1, keepdims=True)
+class Sequences:
+    """Sequences of lines, side by side: a step of a recursion is one array operation over all that are as long."""
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.argsort(-lengths, kind="stable")
+        self.live = np.array([int((lengths > t).sum()) for t in range(int(lengths.max()))])
+        self.start = np.concatenate(([0], np.cumsum(self.live)))
+        rank = np.empty(len(lengths), np.int64)
+        rank[order] = np.arange(len(lengths))
+        within = np.concatenate([np.arange(n) for n in lengths])
+        self.place = self.start[within] + np.repeat(rank, lengths)  # of each line, in the order in which they were given
+
+    def step(self, t: int) -> slice:
+        return slice(self.start[t], self.start[t + 1])
+
+    def run(self, score: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability that each line is good, expected steps from state to state), by forward-backward over placed scores."""
+        emit = np.stack([np.ones_like(score), np.exp(score)], axis=1)
+        forward, backward = np.ones((len(score), 2)), np.ones((len(score), 2))
+        last = len(self.live)
+        for t in range(last):
+            own, n = self.step(t), self.live[t]
+            f = emit[own] if t == 0 else (forward[self.step(t - 1)][:n] @ factor) * emit[own]
+            forward[own] = f / f.sum(1, keepdims=True)
         expected = np.zeros((2, 2))
-        for t in range(longest - 1, 0, -1):
-            n = live[t]
-            right = emit[t, :n] * backward[t, :n]
-            joint = forward[t - 1, :n, :, None] * factor[None] * right[:, None, :]
+        for t in range(last - 1, 0, -1):
+            own, n = self.step(t), self.live[t]
+            right, before = emit[own] * backward[own], self.start[t - 1]
+            joint = forward[before : before + n, :, None] * factor[None] * right[:, None, :]
             expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = right @ factor.T
-            backward[t - 1, :n] = b / b.sum(1, keepdims=True)
+            backward[before : before + n] = b / b.sum(1, keepdims=True)
         both = forward * backward
-        good = both[:, :, 1] / both.sum(2)
-        gap = np.where(mask, labels[None, :] - good, 0.0).astype(np.float32)
-        slope = np.concatenate([np.tensordot(gap, x, ([0, 1], [0, 1])) / total - ridge * weights, ((observed - expected) / total - ridge * steps_log).ravel()])
+        return both[:, 1] / both.sum(1), expected
+
+    def observed(self, labels: np.ndarray) -> np.ndarray:
+        """Steps from state to state of placed labels."""
+        out = np.zeros((2, 2))
+        for t in range(1, len(self.live)):
+            before = self.start[t - 1]
+            np.add.at(out, (labels[before : before + self.live[t]], labels[self.step(t)]), 1)
+        return out
+
+
+def ascend(sequences: Sequences, x: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps_log: np.ndarray, steps: int, free: np.ndarray, rate: float = 0.08, ridge: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Steps up the conditional likelihood of the lines' labels, from (weights, log factors of a step from state to state), of which
+    only those that are ``free`` (0 or 1) move."""
+    width, total, observed = x.shape[1], len(x), sequences.observed(labels)
+    moments = [np.zeros(width + 4), np.zeros(width + 4)]
+    for step in range(1, steps + 1):
+        good, expected = sequences.run(np.clip(x @ weights, -30, 30), np.exp(steps_log))
+        slope = np.concatenate([x.T @ (labels - good) / total - ridge * weights, ((observed - expected) / total - ridge * steps_log).ravel()])
         for m, power, decay in ((0, 1, 0.9), (1, 2, 0.99)):
             moments[m] = decay * moments[m] + (1 - decay) * slope**power
-        move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+        move = free * rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         weights, steps_log = weights + move[:width], steps_log + move[width:].reshape(2, 2)
     return weights, steps_log
 
 
+def refined(good: np.ndarray, doc: np.ndarray, label: np.ndarray, length: np.ndarray, share: float = KEPT_SHARE) -> np.ndarray:
+    """Labels of lines from the probability that each is good: the likelier one, but in each document the lines that fit its label
+    best keep it, up to ``share`` of its length (one at least). Lines are grouped by document."""
+    own = label[doc]
+    fit = np.where(own == 1, good, 1 - good)
+    order = np.lexsort((-fit, doc))
+    weight = (length + 1)[order]
+    before = np.cumsum(weight) - weight
+    first = np.flatnonzero(np.diff(doc[order], prepend=-1))
+    at = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    whole = np.add.reduceat(weight, first)
+    out = (good > 0.5).astype(int)
+    keeps = before - before[first][at] < share * whole[at]
+    out[order[keeps]] = own[order[keeps]]
+    return out
+
+
+def fit_field(texts: list[np.ndarray], labels: np.ndarray, lengths: list[np.ndarray], steps: int = 150, again: int = 60, refinements: int = REFINEMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, 2 x 2 log factors of a step from state to state) from texts (lines x features), their labels and their lines' lengths.
+
+    At first every line has its document's label, and only its own features count: no neighbours, no steps, which would make all lines of a
+    text alike. By what a line says for itself the labels are refined. From these the whole field learns, refines them, and learns on."""
+    n = np.array([len(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), n)
+    cut = np.concatenate([np.full(c, SEQUENCE_LINES) if not r else np.append(np.full(c, SEQUENCE_LINES), r) for c, r in (divmod(int(k), SEQUENCE_LINES) for k in n)])
+    sequences = Sequences(cut)
+    x = np.empty((int(n.sum()), texts[0].shape[1]))
+    x[sequences.place] = np.concatenate(texts)
+    lines = labels[doc].astype(int)
+    weights, steps_log = np.zeros(x.shape[1]), np.zeros((2, 2))
+    alone = np.concatenate([np.ones(N_FEATURES), np.zeros(2 * N_FEATURES), np.ones(1), np.zeros(4)])
+    for round_ in range(refinements + 1):
+        placed = np.empty(len(lines), int)
+        placed[sequences.place] = lines
+        weights, steps_log = ascend(sequences, x, placed, weights, steps_log, again if round_ > 1 else steps, alone if round_ == 0 and refinements else np.ones(len(alone)))
+        good = sequences.run(np.clip(x @ weights, -30, 30), np.exp(steps_log))[0][sequences.place]
+        lines = refined(good, doc, labels.astype(int), np.concatenate(lengths))
+    return weights, steps_log
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat = [line_features(t)[0][:FIT_LINES].ravel() for t in byte_texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(flat, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+        found = [line_features(t) for t in byte_texts(batch.column("text"))]
+        flat = [pa.array([f[k].ravel() for f in found], pa.list_(pa.float64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *flat], ["doc_id", "label", "x", "lengths"])
 
 
 def _scores(model):
@@ -167,20 +223,25 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A linear-chain conditional random field labels each line good or bad from features of its form and of the
     lines before and after (length, letters' case, digits, symbols, separators, repeated lines and words). It
-    learns from a bounded sample of documents, each of whose lines has its document's label. The share of the text that is
-    good by forward-backward marginals, weighted by line length, is calibrated to the score on another bounded sample.
+    learns from a bounded sample of documents (FIT_ROWS, and FIT_LINES lines in all; whole texts). Their lines first have the
+    document's label, then the one that the field finds likelier, while at least half of a text's length keeps the document's. So lines of a
+    text differ. The share of the text that is good by forward-backward marginals, weighted by line length, is calibrated to the
+    score on another bounded sample.
 
     Nulls: null and empty texts are one empty line; a null id is carried along, belongs to the fold of the empty text
     and has no label; repeated rows score alike; a doc_id with contradictory labels has none. Without labels of
     both kinds the score is 0.5 for all. Language, source and id are no inputs. Other columns are not looked at.
     """
     rows = labelled(docs, labels, "quality", FOLDS)
-    table = _sample(rows, FIT, FIT_ROWS, _features, "doc_id long, label int, x array<double>").toArrow()
+    table = _sample(rows, FIT, FIT_ROWS, _features, "doc_id long, label int, x array<double>, lengths array<double>").toArrow().combine_chunks()
     y = table.column("label").to_numpy().astype(int) if table.num_rows else np.zeros(0, int)
     width = 3 * N_FEATURES + 1
     model, beta = (np.zeros(width), np.zeros((2, 2))), np.zeros(3)
+    x, lengths = ([v.values.to_numpy() for v in table.column(c)] for c in ("x", "lengths"))
+    few = int(np.searchsorted(np.cumsum([len(v) for v in lengths]), FIT_LINES, side="right")) if len(lengths) else 0
+    y, x, lengths = y[:few], x[:few], lengths[:few]
     if len(set(y.tolist())) == 2:
-        model = fit_field([with_neighbours(np.array(v).reshape(-1, N_FEATURES)) for v in table.column("x").to_pylist()], y)
+        model = fit_field([with_neighbours(v.reshape(-1, N_FEATURES)) for v in x], y, lengths)
         seen = _sample(rows, CALIBRATION, CALIBRATION_ROWS, _calibration(model), "doc_id long, label int, good_share double, mean_score double").toArrow()
         z = seen.column("label").to_numpy().astype(float) if seen.num_rows else np.zeros(0)
         if len(set(z.tolist())) == 2:
