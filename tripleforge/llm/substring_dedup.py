@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, materialize
-from .hashing import U, byte_texts, long_runs, rolling, split_words, winnowed, word_hashes
+from .hashing import U, byte_texts, long_runs, mix, rolling, split_words, winnowed, word_hashes
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 16
@@ -56,28 +56,32 @@ def _scan(window: int, anchor: int):
 def _extend(window: int, anchor: int, shards: int):
     """Windows around repeated anchors: hashes of the runs that extend an anchor both ways to the window's length.
 
-    Of windows that are the same within a task, all are known to repeat; one of them goes on as a witness.
-    So a hot window is one row a task. Ids and places are sent as differences, which compress well."""
+    Of windows that are the same within a task, all are known to repeat; one of them goes on as a witness, to the shard of its hash.
+    So a hot window is one row a task, and the windows of a hot anchor are spread. Known ones need to meet nothing: they go by their
+    document, in shards after the others. Ids, and places of known ones, are sent as differences, which compress well."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        ids, places, runs, anchors = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, places, runs = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((np.arange(len(runs)), runs))
         same = np.concatenate(([False], runs[order][1:] == runs[order][:-1]))
         multi = np.zeros(len(runs), bool)
         multi[order] = same | np.concatenate((same[1:], [False]))
         witness = np.ones(len(runs), bool)
         witness[order] = ~same
-        shard = ((anchors >> U(32)) * U(shards) >> U(32)).astype(np.int64)
         out = {c: [] for c in ("shard", "ids", "places", "runs", "multi", "known_ids", "known_places")}
-        by = np.argsort(shard, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
-            seen, known = part[witness[part]], part[multi[part]]
-            out["shard"].append(int(shard[part[0]]))
-            out["runs"].append(runs[seen].view(np.int64))
-            out["multi"].append(multi[seen].astype(np.int8))
-            for name, pick in (("", seen), ("known_", known)):
-                out[f"{name}ids"].append(np.diff(ids[pick], prepend=0))
-                out[f"{name}places"].append(np.diff(places[pick], prepend=0))
+        spread = lambda h: ((h >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+        empty = np.empty(0, np.int64)
+        for known, picked, shard in ((False, np.flatnonzero(witness), spread(runs[witness])), (True, np.flatnonzero(multi), shards + spread(mix(ids[multi].astype(np.int64).view(U))))):
+            by = np.argsort(shard, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1) if len(by) else []:
+                at = picked[part]
+                own, near = np.diff(ids[at], prepend=0), np.diff(places[at], prepend=0)
+                out["shard"].append(int(shard[part[0]]))
+                out["runs"].append(empty if known else runs[at].view(np.int64))
+                out["multi"].append(empty if known else multi[at].astype(np.int8))
+                for name, mine in (("", not known), ("known_", known)):
+                    out[f"{name}ids"].append(own if mine else empty)
+                    out[f"{name}places"].append(near if mine else empty)
         kinds = {"multi": pa.int8(), "places": pa.int32(), "known_places": pa.int32()}
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) if c == "shard" else _lists([x.astype(kinds.get(c, pa.int64()).to_pandas_dtype()) for x in v], kinds.get(c, pa.int64())) for c, v in out.items()], list(out))
 
@@ -93,7 +97,7 @@ def _extend(window: int, anchor: int, shards: int):
                 places = np.flatnonzero(found)
                 if not len(places):
                     continue
-                held.append((np.full(len(places), doc), places, long_runs(h, window)[places], near[places]))
+                held.append((np.full(len(places), doc), places, long_runs(h, window)[places]))
                 count += len(places)
                 if count >= COMBINE_WINDOWS:
                     yield from flush(held)
@@ -170,10 +174,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
     2. Seeds: each window selects its smallest ``anchor``-gram, so equal windows have the same anchor. Anchors are
        counted over the corpus, and texts are joined with their repeated ones.
     3. Extension: a repeated anchor is extended to the windows that selected it, by hashes of whole windows. These
-       meet in shards of the anchor order; a task first combines its own, so a hot passage is one row a task.
+       meet in shards of their hashes; a task first combines its own, so a hot passage is one row a task.
     4. Windows that meet are joined to maximal repeats, and their words are cut out.
 
-    Windows are judged on the input. They are compared by a 64-bit hash within the windows of one anchor's shard. Null and
+    Windows are judged on the input. They are compared by a 64-bit hash. Null and
     empty texts have no words; a null id is carried along; rows that share an id are judged each on its own, and each is
     the other's copy where the words are the same. An empty table gives an empty result. Other columns are not looked at.
     """
