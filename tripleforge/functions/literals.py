@@ -56,6 +56,19 @@ def literal(raw: Column, predicate: Column, kind: Column, quote_hint: Column | N
     )
 
 
+def routed(raw: Column, predicate: Column, quote_hint: Column | None = None) -> Column:
+    """Struct (value, quoted) of an object that no entity stands for, where it looks like a value: a year of a ``...Year`` predicate, a sum of
+    money, a date, or a number with or without a unit. Null for anything else, which stays a quoted name."""
+    value = F.trim(F.regexp_replace(F.trim(raw), '^"+|"+$', ""))
+    value = F.when(value.rlike(r"^(?:1[6-9]|20)\d{2}$") & predicate.endswith("Year"), F.concat(value, F.lit("-01-01"))).otherwise(value)
+    value = F.when(value.rlike(r"^[$£€]\s*[\d,]+(?:\.\d+)?$"), F.regexp_replace(value, r"^[$£€]\s*", "")).otherwise(value)
+    month = F.lower(value).rlike("|".join(MONTHS))
+    dated = value.rlike(r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4})$") | (month & value.rlike(r"^(?:[A-Za-z]+ \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2}(?:st|nd|rd|th)? [A-Za-z]+,? \d{4})$"))
+    number = value.rlike(r"^-?[\d,]+(?:\.\d+)?(?:\s*\(?[A-Za-z][A-Za-z/ .]{0,40}\)?)?$")
+    # a date or number is what it looks like, whatever the predicate's name says
+    return F.when(dated, literal(value, F.lit(""), F.lit("date"), quote_hint)).when(number, literal(value, predicate, F.lit("number"), quote_hint))
+
+
 def context_variants(mention: Column, sentence: Column) -> Column:
     """Titles with a parenthesis that the sentence suggests: a year or a name and a kind, or the kind alone; at most MOST_VARIANTS."""
     said, title = F.coalesce(sentence, F.lit("")), F.trim(F.coalesce(mention, F.lit("")))

@@ -163,3 +163,21 @@ def iso_date(c: Column) -> Column:
     out = out.when(text.rlike(numeric), F.concat_ws("-", y, two(F.when(swapped, a).otherwise(b)), two(F.when(swapped, b).otherwise(a))))
     out = out.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
     return out.when(text.rlike(r"^\d{1,4}$"), F.lpad(text, 4, "0"))
+
+
+def sentences(c: Column) -> Column:
+    """Stretches up to a full stop, question or exclamation mark (or several), trimmed, blanks collapsed; empty ones are left out."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([^.!?]*[.!?]+|[^.!?]+$)"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
+def shared_links(page: Column, base: Column) -> Column:
+    """Links of a page that have one of the base's in them, or are in one, as they are or decoded."""
+    fits = lambda x, y: F.contains(x, y) | F.contains(y, x) | F.contains(percent_decoded(y), percent_decoded(x))
+    return F.filter(page, lambda x: F.exists(base, lambda y: fits(x, y)))
+
+
+def listed(c: Column) -> Column:
+    """Quoted items of a list that was written as text."""
+    items = F.regexp_extract_all(c, F.lit(r"""('[^']*'|"[^"]*")"""), F.lit(1))
+    return F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))

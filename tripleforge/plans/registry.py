@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import answers, errors, evaluation, lookups, more, ranking, streams, texts
+from . import answers, errors, evaluation, extras, lookups, more, ranking, streams, texts
 
 FLAGSHIP = "lookup_top15"
-_MODULES = [lookups, texts, evaluation, streams, more, answers, errors, ranking]
+_MODULES = [lookups, texts, evaluation, streams, more, answers, errors, ranking, extras]
 
 
 def queries() -> dict:

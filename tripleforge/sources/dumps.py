@@ -139,6 +139,14 @@ def sentence_lines(lines: DataFrame) -> DataFrame:
     return lines.select("id", F.trim("value").alias("sentence")).filter("sentence <> ''")
 
 
+def paged(fetch, size: int = 10_000) -> DataFrame:
+    """The pages ``fetch(offset, size)`` put together, up to the first empty one."""
+    out, offset = fetch(0, size), size
+    while not (page := fetch(offset, size)).isEmpty():
+        out, offset = out.unionByName(page), offset + size
+    return out
+
+
 def mention_table(spark: SparkSession, path: str) -> DataFrame:
     """(mention, context) of a .csv or .json(l) file, by its suffix; other suffixes are an error."""
     if path.endswith(".csv"):
