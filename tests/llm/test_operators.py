@@ -512,3 +512,42 @@ def test_license_detections(spark, docs, texts):
         assert got == want, r.doc_id
         assert r.score == max((d[3] for d in want), default=0) / 100
         assert set(filter(None, r.labels.split(","))) == {d[2] for d in want} | set(filter(None, r.base_labels.split(",")))
+
+
+def test_other_ways(spark, docs, texts, monkeypatch):
+    """What is joined beyond a bound gives what is broadcast below it; texts whose digests collide stay apart."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    leaks, verdicts, copies = rows(decontamination.contaminated(docs, items)), rows(url_filter.url_filter(pages)), rows(exact_dedup.exact_dedup(docs).drop("text_sha256"))
+    monkeypatch.setattr(decontamination, "BROADCAST_SKETCHES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    assert rows(decontamination.contaminated(docs, items)) == leaks and rows(url_filter.url_filter(pages)) == verdicts
+    whole = F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(whole(c, n), 1, 1))
+    assert rows(exact_dedup.exact_dedup(docs).drop("text_sha256")) == copies
+
+
+def test_ngram_join_grams(docs, texts, monkeypatch):
+    """Blocks by their n-grams, and lists of blocks that are joined."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 300)
+    monkeypatch.setattr(ngram_join, "BROADCAST_MEETS", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs, 5, 80).collect()}
+    assert got == brute_join(texts, 5, 80)
+
+
+@pytest.mark.parametrize(("score", "column"), [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
+def test_classifiers_one_class(spark, score, column):
+    """Labels of one kind say nothing; a very long text, a repeated row and clashing columns are scored like others."""
+    docs = spark.createDataFrame([(k, f"plain text number {k}. And more of it", 7, 8.0) for k in range(30)] + [(50, LONG, 7, 8.0), (3, "plain text number 3. And more of it", 7, 8.0)], "doc_id long, text string, label int, n double")
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(30)], "doc_id long, quality int, toxic int")
+    got = score(docs, labels.select("doc_id", column)).collect()
+    assert len(got) == 32 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == 3}) == 1
+
+
+def test_mixing_odd(odd):
+    """Rows without a source, text or id are repeated like others of their source, each copy whole."""
+    out = mixing.mix_sources(odd, {"s": 4.0}, 2.0).collect()
+    own = {(r.doc_id, r.text, r.source) for r in odd.collect()}
+    assert out and {(r.doc_id, r.text, r.source) for r in out} <= own and min(r["copy"] for r in out) >= 1
