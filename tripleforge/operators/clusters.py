@@ -63,6 +63,20 @@ def cluster_scores(gold: DataFrame, extracted: DataFrame, passive: bool = True)
     return gold.groupBy("sent_id").cogroup(extracted.groupBy("sent_id")).applyInPandas(score, "sent_id string, tp long, fp long, fn long")
 
 
+def missing_essentials(gold: DataFrame) -> DataFrame:
+    """(sent_id, largest, smallest): essential lines of a sentence's clusters. What a sentence without any extraction misses is the largest
+    number by one scheme of scoring, the smallest by another."""
+    sizes = gold.groupBy("sent_id", "cluster").agg(F.count_if(F.col("kind") == "essential").alias("n"))
+    return sizes.groupBy("sent_id").agg(F.max("n").alias("largest"), F.min("n").alias("smallest"))
+
+
+def micro_with_missing(scores: DataFrame, gold: DataFrame, missing: str = "largest") -> DataFrame:
+    """``micro`` of scores (sent_id, tp, fp, fn), with what sentences without scores miss."""
+    left = missing_essentials(gold).join(scores.select("sent_id"), "sent_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    return micro(scores.select("sent_id", "tp", "fp", "fn").unionByName(left.select("sent_id", zero.alias("tp"), zero.alias("fp"), F.col(missing).cast("long").alias("fn"))))
+
+
 def micro(scores: DataFrame) -> DataFrame:
     sums = scores.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     p, r = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))

@@ -206,3 +206,34 @@ def paged_terms(spark, sf_dir):
 
     ranked = global_rank(load(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), F.col("n_nationkey").alias("uri")), {"block": F.floor(F.col("uri") / 1000)}, [F.col("uri")], "place")
     return paged(lambda offset, size: ranked.filter(F.col("place").between(offset + 1, offset + size)).drop("place"), 10)
+
+
+_GOLD_SQL = """g AS (SELECT s_suppkey::VARCHAR AS sent_id, 'text of ' || s_name AS sentence, c.cluster::BIGINT AS cluster, k.kind, k.mark, CASE k.n WHEN 0 THEN s_name || ' --> has --> ' || c.cluster WHEN 1 THEN 'also ' || s_name ELSE 'maybe ' || c.cluster END AS pattern
+  FROM supplier, (VALUES (1), (2)) c(cluster), (VALUES (0, 'essential', NULL), (1, 'essential', NULL), (2, 'compensatory', 'a')) k(n, kind, mark) WHERE k.n <> 1 OR c.cluster = 1)"""
+
+
+def _gold_lines(spark, sf_dir):
+    """The lines of a gold file for each supplier: two clusters, the first with one essential line more."""
+    cluster = lambda k, more: [F.lit(f"------ Cluster {k} ------"), F.concat("s_name", F.lit(f" --> has --> {k}")), *([F.concat(F.lit(" also "), "s_name")] if more else []), F.lit("{a} " + f"maybe {k}"), F.lit("")]
+    lines = F.array(F.concat(F.lit("sent_id:"), F.col("s_suppkey").cast("string"), F.lit("\ttext of "), "s_name"), *cluster(1, True), *cluster(2, False), F.lit("=" * 40))
+    rows = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).cast("string").alias("path"), "s_suppkey", F.posexplode(lines).alias("k", "value"))
+    return rows.select("path", (F.col("s_suppkey") * 100 + F.col("k")).alias("n"), "value")
+
+
+@query("gold_patterns", f"WITH {_GOLD_SQL} SELECT sent_id, sentence, cluster, kind, mark, pattern FROM g")
+def gold_patterns(spark, sf_dir):
+    from tripleforge.sources.dumps import gold_patterns as parsed
+
+    return parsed(_gold_lines(spark, sf_dir)).drop("path")
+
+
+@query("micro_with_missing", """WITH s AS (SELECT s_suppkey % 3 AS tp, s_suppkey % 2 AS fp, 1 AS fn, s_suppkey % 4 <> 0 AS scored FROM supplier), t AS (SELECT sum(tp) FILTER (scored) AS tp, sum(fp) FILTER (scored) AS fp, sum(CASE WHEN scored THEN fn ELSE 2 END) AS fn FROM s)
+SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM t""")
+def micro_with_missing(spark, sf_dir):
+    """Scores of sentences, and the essential lines of the largest cluster for those without extractions."""
+    from tripleforge.operators import clusters
+    from tripleforge.sources.dumps import gold_patterns as parsed
+
+    key = F.col("s_suppkey")
+    scores = load(spark, sf_dir, "supplier").filter(key % 4 != 0).select(key.cast("string").alias("sent_id"), (key % 3).cast("long").alias("tp"), (key % 2).cast("long").alias("fp"), F.lit(1).cast("long").alias("fn"))
+    return clusters.micro_with_missing(scores, parsed(_gold_lines(spark, sf_dir)))

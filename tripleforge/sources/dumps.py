@@ -158,5 +158,22 @@ def mention_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("mention").cast("string"), F.col("context").cast("string") if "context" in rows.columns else F.lit(None).cast("string").alias("context"))
 
 
+def gold_patterns(lines: DataFrame) -> DataFrame:
+    """(path, sent_id, sentence, cluster, kind, mark, pattern) of the gold lines of files (path, n, value).
+
+    A ``sent_id:`` line opens a sentence, a line of a cluster's number a cluster of it. A line that begins with a mark in braces is
+    compensatory, any other one essential; lines of equal signs and empty ones say nothing. Lines are numbered within a file, so a window has one file's."""
+    text = F.trim("value")
+    by_line = Window.partitionBy("path").orderBy("n")
+    opens, names = text.contains("sent_id:"), text.contains("------ Cluster")
+    numbered = lines.select("path", "n", text.alias("value"), opens.alias("opens"), names.alias("names")).withColumn("segment", F.sum(F.col("opens").cast("int")).over(by_line)).filter("segment > 0")
+    own = Window.partitionBy("path", "segment").orderBy("n")
+    last = lambda flag, pattern, k: F.last(F.when(F.col(flag), F.regexp_extract("value", pattern, k)), True).over(own)
+    filled = numbered.withColumns({"sent_id": last("opens", r"sent_id:(\d+)", 1), "sentence": last("opens", r"sent_id:\d+\s+(.*)", 1), "cluster": last("names", r"(\d+)", 1).cast("long")})
+    rows = filled.filter(~F.col("opens") & ~F.col("names") & F.col("cluster").isNotNull() & (F.col("value") != "") & ~F.col("value").contains("=" * 20))
+    marked = F.substring("value", 1, 4).rlike(r"\{[a-z]\}")
+    return rows.select("path", "sent_id", "sentence", "cluster", F.when(marked, "compensatory").otherwise("essential").alias("kind"), F.when(marked, F.substring("value", 2, 1)).alias("mark"), F.when(marked, F.substring("value", 5, 1 << 20)).otherwise(F.col("value")).alias("pattern"))
+
+
 def resource_uri(title: Column) -> Column:
     return F.concat(F.lit(RESOURCE), F.replace(title, F.lit(" "), F.lit("_")))
