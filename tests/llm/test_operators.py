@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,6 +538,46 @@ def test_ngram_join_grams(docs, texts, monkeypatch):
     assert got == brute_join(texts, 5, 80)
 
 
+@pytest.mark.parametrize("paired", [2, 1000])
+def test_ngram_join_diffuse(spark, monkeypatch, paired):
+    """Lines that many texts share make one candidate group of all; only texts that are similar by their sketches are dealt to blocks."""
+    lines = [" ".join(f"line{k}x{j}" for j in range(9)) for k in range(5)]
+    texts = {k: " ".join([f"own{k}x{j}" for j in range(30)] + [lines[k % 5], lines[k * k % 5 - 1]] + [f"more{k}x{j}" for j in range(30)]) for k in range(200)}
+    texts |= {200 + k: texts[k] + " end" for k in range(0, 200, 20)}
+    base = [f"base{j}" for j in range(120)] + lines[0].split()
+    texts |= {500 + k: " ".join(base[:k] + [f"other{k}"] + base[k + 1 :]) for k in range(60)}
+    alone, linked = {k for k in range(200) if k % 20}, ngram_join._linked
+
+    def watched(n, percent):
+        run = linked(n, percent)
+
+        def each(table):
+            if len(alone & set(table.column("doc_id").to_pylist())) > 4:
+                raise ValueError("texts of a larger group that resemble no other were dealt")
+            return run(table)
+
+        return each
+
+    monkeypatch.setattr(ngram_join, "_linked", watched)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired, raising=False)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(docs, 5, 80).collect()}
+    assert got == brute_join(texts, 5, 80) and sum(k[2] > 0 for k in got.values()) >= 20
+
+
+def test_parity_sketch():
+    """Sketches differ in no more bits than sets in n-grams, also where they are folded."""
+    rng = np.random.default_rng(5)
+    for size in (1, 40, 64, 65, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for share in (0.5, 0.9, 1.0):
+            b = np.union1d(a[: int(size * share)], rng.integers(0, 1 << 63, size // 7).astype(np.uint64))
+            sketches = [ngram_join.parity_sketch(x) for x in (a, b)]
+            x, y = ngram_join._stacked(sketches, min(map(len, sketches)) // 8)
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize(("score", "column"), [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
 def test_classifiers_one_class(spark, score, column):
     """Labels of one kind say nothing; a very long text, a repeated row and clashing columns are scored like others."""

@@ -25,6 +25,8 @@ FRAGMENT = 2048
 BROADCAST_IDS = 400_000
 #: The lists of blocks that members of large groups meet have at most so many entries (up to 40 bytes each) in a broadcast.
 BROADCAST_MEETS = 1_000_000
+#: Of groups larger than a block, members of a bucket of at most so many are compared pair by pair (by sketch), of larger ones in blocks.
+PAIRED = 32
 
 
 def most_difference(sizes: int, percent: int) -> int:
@@ -73,16 +75,121 @@ def fragment_signatures(grams: np.ndarray, percent: int, cuts: list[tuple[int, i
     return np.unique(np.concatenate(out))
 
 
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """For each of at least as many places as there are n-grams (a power of two, 64 at least) one bit: whether an odd number of them falls there.
+
+    Sets differ in at least as many n-grams as their sketches in bits, so sketches rule pairs out and never lose one."""
+    places = 64
+    while places < len(grams):
+        places *= 2
+    return np.packbits(np.bincount((grams & U(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _stacked(sketches: list[bytes], words: int) -> np.ndarray:
+    """A row of 64-bit words of each sketch, folded to ``words`` words."""
+    out, lengths = np.empty((len(sketches), words), U), np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        part = np.frombuffer(b"".join([sketches[k] for k in at]), U).reshape(len(at), -1)
+        while part.shape[1] > words:
+            part = part[:, : part.shape[1] // 2] ^ part[:, part.shape[1] // 2 :]
+        out[at] = part
+    return out
+
+
+def _tested(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            most = most_difference(n_a + n_b, percent)
+            close = np.abs(n_a - n_b) <= most
+            first, second = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            words = np.fromiter((min(len(x), len(y)) // 8 for x, y in zip(first, second, strict=True)), np.int64, len(first))
+            for w in np.unique(words):
+                at = np.flatnonzero(words == w)
+                differ = np.bitwise_count(_stacked([first[k] for k in at], w) ^ _stacked([second[k] for k in at], w)).sum(axis=1, dtype=np.int64)
+                close[at] &= differ <= most[at]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(close)), batch.column("b").filter(pa.array(close))], ["a", "b"])
+
+    return run
+
+
+def _join_roots(root: np.ndarray, part: np.ndarray, cols: np.ndarray, link: np.ndarray) -> None:
+    for row, linked in zip(part[link.any(1)], link[link.any(1)], strict=True):
+        roots = np.unique(np.append(root[cols[linked]], root[row]))
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+
+
+def _close(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, size, known, block, low, high = (table.column(c).to_numpy() for c in ("doc_id", "n", "known", "block", "low", "high"))
+        sketches = table.column("sketch").to_pylist()
+        stacked = _stacked(sketches, min(map(len, sketches)) // 8)
+        rows = np.flatnonzero(block == low)
+        cols = rows if low[0] == high[0] else np.flatnonzero(block == high)
+        values, counts = np.unique(known, return_counts=True)
+        major = known == values[counts.argmax()]  # what is connected already is not compared again
+        compared = [(rows[~major[rows]], cols)] + ([] if cols is rows else [(rows[major[rows]], cols[~major[cols]])])
+        root = np.arange(len(ids))
+        for some, others in compared:
+            for at in range(0, len(some) if len(others) else 0, 256):
+                part = some[at : at + 256]
+                most = most_difference(size[part][:, None] + size[others][None, :], percent)
+                differ = np.abs(size[part][:, None] - size[others][None, :])
+                bits = np.zeros(differ.shape, np.int64)
+                for w in range(stacked.shape[1]):
+                    bits += np.bitwise_count(stacked[part, w][:, None] ^ stacked[others, w][None, :])
+                _join_roots(root, part, others, (np.maximum(bits, differ) <= most) & (known[part][:, None] != known[others][None, :]))
+        smallest = ids.copy()
+        np.minimum.at(smallest, root, ids)
+        moved = smallest[root] != ids
+        return pa.table({"a": smallest[root][moved], "b": ids[moved]})
+
+    return run
+
+
+def close_edges(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all similar sets that meet in buckets ``met`` (signature, doc_id), by ``sketches`` (doc_id, n, sketch).
+
+    A bucket's members first meet its smallest one. Then those that aren't connected yet meet each other: pair by pair in buckets
+    of at most PAIRED members, else in blocks of BLOCK_DOCS, of which only a spanning forest leaves a task. Pairs that sketches rule out give no
+    edge, so a frequent n-gram doesn't connect what is not similar. Buckets with the same members are looked at once."""
+
+    def near(pairs: DataFrame) -> DataFrame:
+        side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+        return materialize(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_tested(percent), "a long, b long"))
+
+    least = met.groupBy("signature").agg(F.min("doc_id").alias("a"))
+    first = near(met.join(least, "signature").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")))
+    named = met.join(connected_components(first), F.col("doc_id") == F.col("node"), "left").select("signature", "doc_id", F.coalesce("label", "doc_id").alias("known"))
+    named = materialize(named)
+    unlike = named.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("a"), F.min("known").alias("k"), F.max("known").alias("l"))
+    unlike = materialize(unlike.filter("size > 2 AND k <> l").groupBy("size", "x", "a").agg(F.min("signature").alias("signature")).select("signature", "size"))
+    left = materialize(named.join(unlike, "signature"))
+    few, many = left.filter(F.col("size") <= PAIRED), left.filter(F.col("size") > PAIRED)
+    side = lambda k: few.select("signature", F.col("doc_id").alias(k), F.col("known").alias(f"known_{k}"))
+    second = near(side("a").join(side("b"), "signature").filter("a < b AND known_a <> known_b").select("a", "b"))
+    blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("long")
+    own = F.pmod(F.xxhash64("doc_id"), blocks)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high")))
+    dealt = many.join(sketches, "doc_id").select("signature", "doc_id", "known", "n", "sketch", own.alias("block"), F.explode(meets).alias("meet"))
+    dealt = dealt.select("signature", "doc_id", "known", "n", "sketch", "block", "meet.low", "meet.high")
+    third = materialize(dealt.groupBy("signature", "low", "high").applyInArrow(_close(percent), "a long, b long"))
+    return first.unionByName(second).unionByName(third)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second = [], [], []
+            size, first, second, sketches = [], [], [], []
             for text in byte_texts(batch.column(1)):
                 grams = shingle_set(word_hashes(split_words(text)), n)
                 size.append(len(grams))
                 first.append(int(np.add.reduce(mix(grams)).view(np.int64)) if len(grams) else 0)
                 second.append(int(np.bitwise_xor.reduce(mix(grams ^ U(0x5851F42D4C957F2D))).view(np.int64)) if len(grams) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc_id", "n", "d1", "d2"])
+                sketches.append(parity_sketch(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
 
     return run
 
@@ -165,10 +272,7 @@ def _linked(n: int, percent: int):
             else:
                 degree[cols] += link.T @ copies[part]
             degree[part] += link @ copies[cols]
-            for row, linked in zip(part[link.any(1)], link[link.any(1)], strict=True):
-                roots = np.unique(np.append(root[cols[linked]], root[row]))
-                if len(roots) > 1:
-                    root[np.isin(root, roots)] = roots[0]
+            _join_roots(root, part, cols, link)
         smallest = ids.copy()
         np.minimum.at(smallest, root, ids)
         return pa.table({"doc_id": ids, "root": smallest[root], "links": degree.astype(np.int64)})
@@ -184,11 +288,12 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     1. Documents with the same set become one class; copies are counted, never compared.
     2. The global order of n-grams is cut into fragments, more than similar sets can differ in. So they share a whole
        fragment; classes meet by its signature in an aggregation (no pairs), which gives candidate groups.
-    3. In each group, partial overlaps are counted fragment by fragment and summed per pair, in blocks of
+    3. Groups larger than a block fall apart where sketches of the sets that met rule their similarity out (``close_edges``).
+    4. In each group, partial overlaps are counted fragment by fragment and summed per pair, in blocks of
        BLOCK_DOCS documents or BLOCK_GRAMS n-grams: a large group is cut into bands of size, of which only neighbouring ones
        can hold similar sets, and is dealt by pairs of blocks over many tasks.
        Only a spanning forest and numbers of links leave a task, no pairs.
-    4. Components of the forests, then the copies.
+    5. Components of the forests, then the copies.
 
     Words are lower-cased (A-Z) runs of other than blanks; a text with fewer words than ``n`` is one n-gram. Null and
     empty texts have no n-gram, no link, and are their own component. A null id has a null component and
@@ -208,7 +313,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
 def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``ngram_join`` of rows (doc_id, text) whose ids are unique where they aren't null."""
-    sets = materialize(rows.mapInArrow(_sets(n), "doc_id long, n long, d1 long, d2 long"))
+    sets = materialize(rows.mapInArrow(_sets(n), "doc_id long, n long, d1 long, d2 long, sketch binary"))
     known = sets.filter("doc_id IS NOT NULL AND n > 0")
     classes = materialize(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     others = materialize(known.select("doc_id").join(classes.select("rep"), known["doc_id"] == F.col("rep"), "left_anti"))
@@ -218,8 +323,14 @@ def _join_unique(rows: DataFrame, n: int, percent: int) -> DataFrame:
     met = materialize(signatures.hint("merge").join(buckets, "signature"))
     least = met.groupBy("signature").agg(F.min("doc_id").alias("a"))
     groups = connected_components(met.join(least, "signature").select("a", F.col("doc_id").alias("b")))
-    groups = materialize(groups.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("grams_n"), "copies"), "node"))
+    described = lambda nodes: materialize(nodes.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("grams_n"), "copies"), "node"))
+    groups = described(groups)
     count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("grams_n") / BLOCK_GRAMS)).cast("long").alias("blocks")
+    diffuse = materialize(groups.groupBy("label").agg(count).filter("blocks > 1").select("label"))
+    if not diffuse.isEmpty():
+        unsure = groups.join(diffuse, "label", "left_semi").select(F.col("node").alias("doc_id"))
+        close = close_edges(materialize(met.join(unsure, "doc_id", "left_semi")), known.select("doc_id", "n", "sketch"), percent)
+        groups = materialize(groups.join(diffuse, "label", "left_anti").unionByName(described(connected_components(close)).select(groups.columns)))
     large = groups.groupBy("label").agg(count).filter("blocks > 1").select("label", F.lit(True).alias("large"))
     # similar sets of a large group are in the same or in neighbouring bands of size
     band = F.when(F.col("large"), F.floor(F.log(F.col("grams_n").cast("double")) / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("long").alias("band")
